@@ -97,7 +97,7 @@ def encodable(text: Column | str, digits: bool = False, script: Script = KANNADA
         groups.append(script.digits)
     known = [c for g in groups for c in g] + [script.virama]
     dependent = [script.virama, *script.matras]
-    foreign = text.rlike("[^" + "".join(known) + "]")
+    foreign = text.rlike(char_class(known, negated=True))
     stray = text.rlike(f"(?<!{char_class(script.consonants)}){char_class(dependent)}")
     return ~foreign & ~stray
 

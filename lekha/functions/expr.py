@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as a Unicode-aware text tool sees it: the White_Space property
@@ -62,6 +62,27 @@ def replace_all(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
-def char_class(letters: Sequence[str]) -> str:
-    """A regex class of exactly these characters (none of them special)."""
-    return "[" + "".join(letters) + "]"
+def char_class(letters: Iterable[str], negated: bool = False) -> str:
+    """A regex class of exactly these characters, neighbours joined to ranges.
+
+    Java tests every part of a class in turn, so fewer parts run faster.
+    """
+    runs: list[list[int]] = []
+    for code in sorted({ord(c) for c in letters}):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    parts = [f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in runs]
+    return ("[^" if negated else "[") + "".join(parts) + "]"
+
+
+def once(df: DataFrame, keep: Sequence[str], **computed: Column) -> DataFrame:
+    """Add columns that later filters cannot be pushed through.
+
+    A filter on an ordinary derived column moves below the projection and
+    repeats its expression there for every use; a generated column is
+    evaluated once per row.
+    """
+    row = F.struct(*[value.alias(name) for name, value in computed.items()])
+    return df.select(*keep, F.inline(F.array(row)))

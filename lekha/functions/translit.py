@@ -32,19 +32,22 @@ BARE_MARK = "q"
 VIRAMA = "್"
 # ---- end of fixed values
 
-# Typed letters become private-use characters first, so that script already
-# present in the input passes through untouched.
+# Consonants become private-use characters first, so that script already
+# present in the input passes through untouched. Long vowels become one letter
+# each, and a control character marks a vowel that follows a consonant: the
+# text stays one byte per character while most of the work is done.
 _CONSONANT_CODE = {c: chr(0xE100 + i) for i, c in enumerate(dict.fromkeys(CONSONANTS.values()))}
-_VOWEL_CODE = {v: chr(0xE200 + i) for i, v in enumerate(dict.fromkeys(VOWELS.values()))}
-_PAIR_END = chr(0xF8FE)
-_SEAM = chr(0xF8FF)
+_VOWEL_CODE = {"ಅ": "a", "ಆ": "A", "ಇ": "i", "ಈ": "I", "ಉ": "u", "ಊ": "U", "ಋ": "R", "ಎ": "e", "ಏ": "E",
+               "ಐ": "\x05", "ಒ": "o", "ಓ": "O", "ಔ": "\x06"}
+_PAIR_END, _SEAM = "\x03", "\x04"
 
 
 def to_kannada(text: Column | str) -> Column:
     long_consonants = sorted((k for k in CONSONANTS if len(k) > 1), key=len, reverse=True)
     long_vowels = [k for k in VOWELS if len(k) > 1]
-    cons = char_class(_CONSONANT_CODE.values())
+    cons = char_class([*(k for k in CONSONANTS if len(k) == 1), *_CONSONANT_CODE.values()])
     vow = char_class(_VOWEL_CODE.values())
+    followed = char_class([_SEAM, BARE_MARK, *(m for m in MATRA_OF.values() if m)])
 
     # No multi-letter consonant key starts with a letter that ends another,
     # so longest-first replacement equals a left-to-right scan.
@@ -53,17 +56,14 @@ def to_kannada(text: Column | str) -> Column:
     out = F.regexp_replace(out, "(" + "|".join(long_vowels) + ")", "$1" + _PAIR_END)
     out = replace_all(out, [(k + _PAIR_END, _VOWEL_CODE[VOWELS[k]]) for k in long_vowels])
 
-    single = {k: _CONSONANT_CODE[v] for k, v in CONSONANTS.items() if len(k) == 1}
-    single |= {k: _VOWEL_CODE[v] for k, v in VOWELS.items() if len(k) == 1}
-    out = F.translate(out, "".join(single), "".join(single.values()))
-
     out = F.regexp_replace(out, f"(?<={cons})(?={vow})", _SEAM)
-    out = F.regexp_replace(out, f"(?<={cons})(?![{_SEAM}{BARE_MARK}])", VIRAMA)
+    out = replace_all(out, [(_SEAM + code, MATRA_OF[v]) for v, code in _VOWEL_CODE.items() if v != "ಅ"])
+    out = F.regexp_replace(out, f"(?<={cons})(?!{followed})", VIRAMA)
     out = F.regexp_replace(out, f"(?<={cons}){BARE_MARK}", VIRAMA)
-    out = replace_all(out, [(_SEAM + code, MATRA_OF[v]) for v, code in _VOWEL_CODE.items()])
+    out = F.replace(F.replace(out, F.lit(_SEAM + "a"), F.lit("")), F.lit("||"), F.lit("॥"))
 
-    out = F.replace(out, F.lit("||"), F.lit("॥"))
-    final = {code: c for c, code in _CONSONANT_CODE.items()}
+    final = {k: v for k, v in CONSONANTS.items() if len(k) == 1}
+    final |= {code: c for c, code in _CONSONANT_CODE.items()}
     final |= {code: v for v, code in _VOWEL_CODE.items()}
     final |= SIGNS | DIGITS | {"|": "।"}
     return F.translate(out, "".join(final), "".join(final.values()))

@@ -263,8 +263,8 @@ def correction_variants(df: DataFrame, key: Sequence[str], ref: str, hyp: str, o
 
     scored = fixed.select(F.explode(F.array(
         F.struct(F.lit("as_typed").alias("variant"), agreement_cer(ref, hyp).alias("cer")),
-        F.struct(F.lit("machine_agreed"), agreement_cer("fixed", hyp)),
-        F.struct(F.lit("blanket"), agreement_cer(blanket(ref), blanket(hyp))),
+        F.struct(F.lit("machine_agreed").alias("variant"), agreement_cer("fixed", hyp).alias("cer")),
+        F.struct(F.lit("blanket").alias("variant"), agreement_cer(blanket(ref), blanket(hyp)).alias("cer")),
     )).alias("s")).select("s.*")
     means = scored.groupBy("variant").agg(F.avg("cer").alias("mean_cer"))
     medians = exact_percentiles(scored, "cer", [0.5], ["variant"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, spelling, text
+from ..functions.expr import once
 
 
 def _old_side(c: str):
@@ -14,15 +15,15 @@ def _old_side(c: str):
 
 def old_lines(verses: DataFrame) -> DataFrame:
     """(id, text): cleaned verses of usable length that survive the codec."""
-    cleaned = verses.select("id", _old_side("verse").alias("text"))
+    cleaned = once(verses, ["id"], text=_old_side("verse"))
     return cleaned.where(text.usable_length("text") & codec.round_trips("text"))
 
 
 def verse_pairs(verses: DataFrame) -> DataFrame:
     """(verse_id, old_text, modern_text): the shortest interpretation as modern side."""
-    given = verses.where(F.size("interpretations") > 0).select(
-        F.col("id").alias("verse_id"), _old_side("verse").alias("old_text"),
-        text.clean_modern(text.shortest_reading("interpretations")).alias("modern_text"))
+    given = once(
+        verses.where(F.size("interpretations") > 0).withColumnRenamed("id", "verse_id"), ["verse_id"],
+        old_text=_old_side("verse"), modern_text=text.clean_modern(text.shortest_reading("interpretations")))
     return given.where(text.usable_length("old_text") & (F.col("modern_text") != "") & codec.round_trips("old_text"))
 
 
@@ -30,15 +31,14 @@ def rule_pairs(verses: DataFrame, rate: float = spelling.SWAP_RATE, seed: int =
     """(old_text, modern_text) from every distinct interpretation sentence."""
     raw = verses.select(F.explode(F.map_values("interpretations")).alias("t"))
     pieces = raw.select(F.explode(text.sentences("t")).alias("s")).where(text.sentence_ok("s")).distinct()
-    cleaned = pieces.select("s", text.clean_modern("s").alias("modern_text"), text.clean_manuscript("s").alias("c"))
-    old = cleaned.where("c <> ''").select(
-        spelling.old_style("c", "s", rate, seed).alias("old_text"), "modern_text")
-    return old.where(codec.round_trips("old_text"))
+    cleaned = once(pieces, ["s"], c=text.clean_manuscript("s")).where("c <> ''")
+    old = once(cleaned, ["s"], old_text=spelling.old_style("c", "s", rate, seed))
+    return old.where(codec.round_trips("old_text")).select("old_text", text.clean_modern("s").alias("modern_text"))
 
 
 def corpus_funnel(verses: DataFrame) -> DataFrame:
     """Verses by their fate on the way to the old-line corpus."""
-    cleaned = verses.select(_old_side("verse").alias("t"))
+    cleaned = once(verses, [], t=_old_side("verse"))
     size = F.char_length("t")
     fate = (
         F.when(size == 0, "empty").when(size > text.MAX_LINE_CHARS, "too_long")
