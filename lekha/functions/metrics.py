@@ -10,8 +10,9 @@ from .expr import col
 
 
 def edit_distance(ref: Column | str, hyp: Column | str) -> Column:
-    """Levenshtein distance over code points."""
-    return F.levenshtein(col(ref), col(hyp))
+    """Levenshtein distance over code points; equal texts skip the table."""
+    ref, hyp = col(ref), col(hyp)
+    return F.when(ref == hyp, F.lit(0)).otherwise(F.levenshtein(ref, hyp))
 
 
 def cer(ref: Column | str, hyp: Column | str) -> Column:

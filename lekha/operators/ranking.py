@@ -97,12 +97,13 @@ def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], group: Seq
         F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
     )
     k = len(at)
+    few = F.col("n") <= 2 * accuracy  # too few rows for a margin in ranks: bracket them all
     wanted = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
             (F.lit(q) * (F.col("n") - 1)).alias("rank"),
-            (F.col("__min") if lows[i] == 0.0 else F.col("__b")[i]).alias("lo"),
-            (F.col("__max") if highs[i] == 1.0 else F.col("__b")[k + i]).alias("hi"),
+            F.when(few | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__b")[i]).alias("lo"),
+            F.when(few | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__b")[k + i]).alias("hi"),
         ) for i, q in enumerate(at)
     ])
     # One row per (group, bracket, value inside it), plus the count below it.

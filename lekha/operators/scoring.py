@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.alignment import align_codes, code_points
-from ..functions.expr import WS_RUN, chars, col, words
+from ..functions.expr import WS_RUN, col, once, words
 from ..functions.metrics import agreement_cer
 from .ranking import exact_percentiles
 
@@ -66,29 +66,27 @@ def _split_word_marks(text: Column) -> Column:
 
 
 def _gram_statistics(df: DataFrame, key: Sequence[str], group: Sequence[str], ref: str, hyp: str,
-                     grams) -> DataFrame:
+                     prepared: dict[str, Column], grams: Sequence[tuple[int, Column]]) -> DataFrame:
     """Per row and order: hypothesis, reference and clipped match counts.
 
-    Rows are placed by key once; counting then needs no further shuffle, so
-    only the texts themselves move, not their n-grams.
+    ``prepared`` columns are computed once from ``t``, the text of a side, and
+    ``grams`` lists the n-grams of each order from them. Rows are placed by
+    key once; counting then needs no further shuffle, so only the texts
+    themselves move, not their n-grams.
     """
-    key, group = list(key), list(group)
-    placed = df.select(*group, *key, F.col(ref).alias("__r"), F.col(hyp).alias("__h")).repartition(*key)
-    sides = F.array(
-        *[F.struct(F.lit(n).alias("order"), F.lit(is_hyp).alias("is_hyp"), g.alias("grams"))
-          for is_hyp, side in ((0, "__r"), (1, "__h")) for n, g in grams(F.col(side))]
-    )
-    exploded = (
-        placed.select(*group, *key, F.explode(sides).alias("s"))
-        .select(*group, *key, "s.order", "s.is_hyp", F.explode("s.grams").alias("gram"))
-    )
-    counted = exploded.groupBy(*key, *group, "order", "gram").agg(
-        F.sum("is_hyp").alias("h"), F.sum(1 - F.col("is_hyp")).alias("r")
-    )
-    return counted.groupBy(*key, *group, "order").agg(
-        F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"),
-        F.sum(F.least("h", "r")).alias("n_match"),
-    )
+    keys = [*key, *group]
+    placed = df.select(*keys, F.col(ref).alias("__r"), F.col(hyp).alias("__h")).repartition(*key)
+    sides = placed.select(*keys, F.inline(F.array(
+        F.struct(F.lit(0).alias("is_hyp"), F.col("__r").alias("t")),
+        F.struct(F.lit(1).alias("is_hyp"), F.col("__h").alias("t")))))
+    ready = once(sides, [*keys, "is_hyp"], **prepared)
+    orders = F.array(*[F.struct(F.lit(n).alias("order"), g.alias("grams")) for n, g in grams])
+    exploded = ready.select(*keys, "is_hyp", F.inline(orders)).select(
+        *keys, "is_hyp", "order", F.explode("grams").alias("gram"))
+    counted = exploded.groupBy(*keys, "order", "gram").agg(
+        F.sum("is_hyp").alias("h"), F.sum(1 - F.col("is_hyp")).alias("r"))
+    return counted.groupBy(*keys, "order").agg(
+        F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"), F.sum(F.least("h", "r")).alias("n_match"))
 
 
 def chrf_statistics(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
@@ -97,14 +95,11 @@ def chrf_statistics(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
 
     A row's hypothesis n-grams count only where its reference has any.
     """
-
-    def grams(text: Column):
-        packed = F.regexp_replace(text, WS_RUN, "")
-        yield from ((n, _char_grams(packed, n)) for n in CHAR_ORDERS)
-        tokens = _split_word_marks(text)
-        yield from ((len(CHAR_ORDERS) + n, _token_grams(tokens, n)) for n in WORD_ORDERS)
-
-    rows = _gram_statistics(df, key, group, ref, hyp, grams)
+    t = F.col("t")
+    prepared = {"packed": F.regexp_replace(t, WS_RUN, ""), "tokens": _split_word_marks(t)}
+    grams = [(n, _char_grams(F.col("packed"), n)) for n in CHAR_ORDERS]
+    grams += [(len(CHAR_ORDERS) + n, _token_grams(F.col("tokens"), n)) for n in WORD_ORDERS]
+    rows = _gram_statistics(df, key, group, ref, hyp, prepared, grams)
     counted = F.when(F.col("n_ref") > 0, F.col("n_hyp")).otherwise(F.lit(0))
     return rows.groupBy(*group, "order").agg(
         F.sum(counted).alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
@@ -142,11 +137,8 @@ def tokenize_13a(text: Column | str) -> Column:
 
 def bleu_statistics(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
                     group: Sequence[str] = ()) -> DataFrame:
-    def grams(text: Column):
-        tokens = tokenize_13a(text)
-        yield from ((n, _token_grams(tokens, n)) for n in BLEU_ORDERS)
-
-    rows = _gram_statistics(df, key, group, ref, hyp, grams)
+    grams = [(n, _token_grams(F.col("tokens"), n)) for n in BLEU_ORDERS]
+    rows = _gram_statistics(df, key, group, ref, hyp, {"tokens": tokenize_13a("t")}, grams)
     return rows.groupBy(*group, "order").agg(
         F.sum("n_hyp").alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
     )

@@ -26,7 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The neighbour is found by joining turn numbers, so a very long
     conversation is no hot group.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     user = turns.where("role = 'user'").select(
         "conv_id", "turn", F.col("text").alias("old_text"), (F.col("turn") + 1).alias("next"))
     reply = turns.where("role = 'assistant'").select(
@@ -40,14 +40,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     edits = [t, t, F.replace(t, F.lit("th"), F.lit("d")), F.concat(F.lit("x "), t),
              F.replace(t, F.lit("on"), F.lit("o")), F.lit("  ")]
-    return table(spark, sf_dir, "benchmark").select(
+    return spread(table(spark, sf_dir, "benchmark"), "item_id").select(
         F.col("item_id").alias("crop"), F.posexplode(F.array(*edits)).alias("sample_idx", "text"))
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(crop, labeller, text): three labellers over the conversation turns."""
     t = F.col("text")
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     named = turns.select("role", crop_id(), F.explode(F.array(
         F.struct(F.lit("alpha").alias("labeller"), F.when(F.col("role") == "system", F.concat(F.lit(" "), F.substring(
             t, 1, 4))).otherwise(t).alias("text")),

@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.hashing import fraction_threshold, in_hash_split
 from ..functions.metrics import agreement_cer
 from ..operators import dedupe, joins, labels, packing, reports, splits
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..streaming.inbox import ingest_inbox
 from .adapters import agreement, crops, label_rows, photos, readings, table, with_views
 from .registry import query
@@ -480,7 +480,7 @@ def f23_pages(spark, sf_dir):
            AS demo_split FROM label_set WHERE reason IS NULL"""))
 def labels_holdout(spark, sf_dir):
     """The whole label-set build with every fourth line of a page held out."""
-    kept = _label_set(spark, sf_dir).where("reason is null").drop("width", "height")
+    kept = stored(_label_set(spark, sf_dir).where("reason is null").select("crop", "page"), "label-set")
     placed = kept.join(crops(spark, sf_dir).select("crop", "position"), "crop")
     out = splits.holdout_every(placed, "page", ["crop"], 4, F.floor(F.col("position") / 65536))
     return out.select("crop", "demo_split")
