@@ -42,7 +42,9 @@ def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -
         line, "frame", F.col("log_probs").cast("array<float>").alias("lp"),
         F.lit(None).cast("array<int>").alias("targets"),
     )
-    ordered = header.unionByName(body).repartition(line).sortWithinPartitions(line, "frame")
+    # The hash keeps this shuffle in the plan even where both inputs are already
+    # placed by line: no later step would ask for that placement again.
+    ordered = header.unionByName(body).repartition(F.xxhash64(line)).sortWithinPartitions(line, "frame")
 
     def finish(key, walk: ViterbiLine) -> pa.RecordBatch:
         labels = walk.labels()
