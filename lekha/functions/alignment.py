@@ -4,48 +4,60 @@ from __future__ import annotations
 
 import numpy as np
 
+_WHOLE_TABLE = 4_000_000  # cells; larger tables are kept in blocks of rows
 _BLOCK = 256
 
 
-def _next_row(row: np.ndarray, ref_code: int, hyp: np.ndarray, i: int, ramp: np.ndarray) -> np.ndarray:
-    """Row i of the edit-distance table from row i-1."""
-    best = np.minimum(row[1:] + 1, row[:-1] + (hyp != ref_code))
-    # Insertions chain along the row: d[j] = min over k<=j of best[k] + (j-k).
-    out = np.concatenate(([i], best)) - ramp
-    return np.minimum.accumulate(out) + ramp
+def _rows(first: np.ndarray, ref: np.ndarray, hyp: np.ndarray, start: int, stop: int) -> list[np.ndarray]:
+    """Rows start..stop of the edit-distance table, given row ``start``.
+
+    Rows are stored less their column number: a chain of insertions along a
+    row is then a running minimum.
+    """
+    rows = [first]
+    change = (hyp[None, :] != ref[start:stop, None]).astype(np.int32) - 1
+    for i in range(start + 1, stop + 1):
+        row = np.empty(len(hyp) + 1, dtype=np.int32)
+        row[0] = i
+        np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + change[i - start - 1], out=row[1:])
+        rows.append(np.minimum.accumulate(row, out=row))
+    return rows
 
 
 def align_codes(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a minimal edit path, -1 where one side has nothing.
 
     Walking back from the end it prefers match or substitution, then
-    deletion, then insertion. Only every 256th table row is kept and blocks
-    are recomputed on the way back, so memory stays far below n x m.
+    deletion, then insertion. A long pair keeps only every 256th table row
+    and recomputes blocks on the way back, so memory stays far below n x m.
     """
-    n, m = len(ref), len(hyp)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    kept = [ramp.copy()]
-    row = kept[0]
-    for i in range(1, n + 1):
-        row = _next_row(row, ref[i - 1], hyp, i, ramp)
-        if i % _BLOCK == 0:
-            kept.append(row)
-
-    pairs_r, pairs_h = [], []
+    # Equal ends always match first on the way back, so they need no table.
+    shortest = min(len(ref), len(hyp))
+    tail = ref[len(ref) - shortest:] == hyp[len(hyp) - shortest:]
+    same = shortest if tail.all() else int(np.argmin(tail[::-1]))
+    n, m = len(ref) - same, len(hyp) - same
+    pairs_r = list(range(len(ref) - 1, n - 1, -1))
+    pairs_h = list(range(len(hyp) - 1, m - 1, -1))
+    ref, hyp = ref[:n], hyp[:m]
+
+    block = n + 1 if (n + 1) * (m + 1) <= _WHOLE_TABLE else _BLOCK
+    starts = [np.zeros(m + 1, dtype=np.int32)]
+    table, base = [], 0
+    for at in range(0, n, block):
+        table, base = _rows(starts[-1], ref, hyp, at, min(at + block, n)), at
+        starts.append(table[-1])
+
     i, j = n, m
-    table, base = None, n + 1
-    while i > 0 or j > 0:
-        if i > 0 and i - 1 < base:
-            base = (i - 1) // _BLOCK * _BLOCK
-            table = [kept[base // _BLOCK]]
-            for k in range(base + 1, min(base + _BLOCK, n) + 1):
-                table.append(_next_row(table[-1], ref[k - 1], hyp, k, ramp))
-        here = table[i - base][j] if i > 0 else j
-        if i > 0 and j > 0 and here == table[i - 1 - base][j - 1] + (ref[i - 1] != hyp[j - 1]):
+    while i > 0 and j > 0:
+        if i <= base:
+            base -= block
+            table = _rows(starts[base // block], ref, hyp, base, base + block)
+        here, above = table[i - base][j], table[i - base - 1]
+        if here == above[j - 1] - (ref[i - 1] == hyp[j - 1]):
             i, j = i - 1, j - 1
             pairs_r.append(i)
             pairs_h.append(j)
-        elif i > 0 and here == table[i - 1 - base][j] + 1:
+        elif here == above[j] + 1:
             i -= 1
             pairs_r.append(i)
             pairs_h.append(-1)
@@ -53,6 +65,8 @@ def align_codes(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarra
             j -= 1
             pairs_r.append(-1)
             pairs_h.append(j)
+    pairs_r += [*range(i - 1, -1, -1), *[-1] * j]
+    pairs_h += [*[-1] * i, *range(j - 1, -1, -1)]
     return np.array(pairs_r[::-1], dtype=np.int32), np.array(pairs_h[::-1], dtype=np.int32)
 
 

@@ -9,6 +9,7 @@ from ..functions.codec import encodable
 from ..functions.expr import strip
 from ..functions.metrics import agreement_cer
 from ..functions.text import page_group
+from ..session import stored
 from .ranking import exact_percentiles
 
 # The filters' limits.
@@ -100,8 +101,12 @@ def build_label_set(labels: DataFrame, crops: DataFrame, group: str | None = Non
                     max_disagreement: float = MAX_DISAGREEMENT, mads: float = LENGTH_MADS,
                     min_chars: int = MIN_CHARS, digits: bool = False,
                     is_encodable: Column | None = None) -> DataFrame:
-    """Every candidate with its reason; NULL marks the kept ones."""
-    screened = screen_candidates(labels, crops, group, min_chars, digits, is_encodable)
+    """Every candidate with its reason; NULL marks the kept ones.
+
+    The screened rows feed two medians, the band and the agreement check, so
+    they are stored once instead of joined again for each.
+    """
+    screened = stored(screen_candidates(labels, crops, group, min_chars, digits, is_encodable), "screened")
     return apply_agreement(apply_length_band(screened, mads), labels, max_disagreement)
 
 

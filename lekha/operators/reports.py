@@ -11,6 +11,7 @@ from ..functions.expr import words
 from ..functions.spelling import ANUSVARA, ARCHAIC_SWAPS, NASAL_BEFORE, swap_sites
 from ..functions.text import count_of, repetition_rate
 from .ranking import exact_percentiles, with_rank
+from .scoring import gram_statistics
 
 
 def letter_counts(df: DataFrame, text: str, letters: Sequence[str], source: str) -> DataFrame:
@@ -87,31 +88,25 @@ def extrapolate(fit: DataFrame, sizes: Sequence[int]) -> DataFrame:
     return fit.select("*", size).withColumn("score", F.col("intercept") + F.col("slope") * F.log2("n"))
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-
-def overlap_report(df: DataFrame, key: Sequence[str], source: str, target: str, stem: int = 4) -> DataFrame:
+def overlap_report(df: DataFrame, source: str, target: str, stem: int = 4) -> DataFrame:
     """Micro-averaged share of target words, word stems and character n-grams
-    that also occur in the row's source. Rows are placed by key once; the
-    pieces of a text are then counted where they are."""
-    s_words, t_words = words(source), words(target)
-
-    def stems(w: Column) -> Column:
-        return F.transform(F.filter(w, lambda x: F.char_length(x) >= stem), lambda x: F.substring(x, 1, stem))
-
-    kinds = [("word", s_words, t_words), ("stem", stems(s_words), stems(t_words)),
-             ("gram", _grams(F.col(source), stem), _grams(F.col(target), stem))]
-    placed = df.select(*key, source, target).repartition(*key)
-    items = placed.select(*key, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(side).alias("side"), a.alias("items"))
-        for k, s, t in kinds for side, a in (("s", s), ("t", t))
-    ])).alias("x")).select(*key, "x.kind", "x.side", F.explode("x.items").alias("item"))
-    counted = items.groupBy(*key, "kind", "item").agg(
-        F.count_if(F.col("side") == "t").alias("n"), F.bool_or(F.col("side") == "s").alias("shared"))
-    return counted.groupBy("kind").agg(
-        F.sum("n").alias("n_target"), F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).alias("n_shared")
-    ).where("n_target > 0").withColumn("share", F.col("n_shared") / F.col("n_target"))
+    that also occur in the row's source."""
+    def stems(text: str) -> Column:
+        long = F.filter(words(text), lambda w: F.char_length(w) >= stem)
+        return F.transform(long, lambda w: F.substring(w, 1, stem))
+
+    kinds = {
+        "word": (df.select(words(source).alias("s"), words(target).alias("t")), 1),
+        "stem": (df.select(stems(source).alias("s"), stems(target).alias("t")), 1),
+        "gram": (df.select(F.col(source).alias("s"), F.col(target).alias("t")), stem),
+    }
+    out = None
+    for kind, (pieces, order) in kinds.items():
+        counts = gram_statistics(pieces, [], "s", "t", [order]).agg(
+            F.sum("n_hyp").alias("n_target"), F.sum("n_shared").alias("n_shared"))
+        part = counts.select(F.lit(kind).alias("kind"), "n_target", "n_shared")
+        out = part if out is None else out.unionByName(part)
+    return out.where("n_target > 0").withColumn("share", F.col("n_shared") / F.col("n_target"))
 
 
 def repetition_report(df: DataFrame, text: str, group: Sequence[str] = ()) -> DataFrame:

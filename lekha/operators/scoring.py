@@ -11,12 +11,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.alignment import align_codes, code_points
-from ..functions.expr import WS_RUN, col, once, words
+from ..functions.expr import WS_RUN, col, words
 from ..functions.metrics import agreement_cer
+from ..functions.ngrams import gram_counts, shared_ids
 from .ranking import exact_percentiles
 
 # chrF++ orders and weight, BLEU orders.
@@ -40,19 +42,6 @@ def paired(refs: DataFrame, hyps: DataFrame, key: Sequence[str]) -> DataFrame:
 # ---- n-gram scores --------------------------------------------------------
 
 
-def _char_grams(text: Column, n: int) -> Column:
-    """All overlapping n-character pieces, found by one pass of a lookahead."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-
-def _token_grams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "\x00"))
-
-
 def _split_word_marks(text: Column) -> Column:
     """Words with a trailing, else a leading, ASCII punctuation mark split off."""
     return F.flatten(F.transform(
@@ -65,51 +54,59 @@ def _split_word_marks(text: Column) -> Column:
     ))
 
 
-def _gram_statistics(df: DataFrame, key: Sequence[str], group: Sequence[str], ref: str, hyp: str,
-                     prepared: dict[str, Column], grams: Sequence[tuple[int, Column]]) -> DataFrame:
-    """Per row and order: hypothesis, reference and clipped match counts.
+def gram_statistics(df: DataFrame, keep: Sequence[str], ref: str, hyp: str, orders: Sequence[int],
+                    shift: int = 0) -> DataFrame:
+    """Per row and order: n-gram counts of both sides, clipped and shared matches.
 
-    ``prepared`` columns are computed once from ``t``, the text of a side, and
-    ``grams`` lists the n-grams of each order from them. Rows are placed by
-    key once; counting then needs no further shuffle, so only the texts
-    themselves move, not their n-grams.
+    ``ref`` and ``hyp`` are texts (n-grams of characters) or arrays of tokens.
+    A row's n-grams never leave its Arrow batch: exploding them would multiply
+    the data by the number of orders and shuffle it.
     """
-    keys = [*key, *group]
-    placed = df.select(*keys, F.col(ref).alias("__r"), F.col(hyp).alias("__h")).repartition(*key)
-    sides = placed.select(*keys, F.inline(F.array(
-        F.struct(F.lit(0).alias("is_hyp"), F.col("__r").alias("t")),
-        F.struct(F.lit(1).alias("is_hyp"), F.col("__h").alias("t")))))
-    ready = once(sides, [*keys, "is_hyp"], **prepared)
-    orders = F.array(*[F.struct(F.lit(n).alias("order"), g.alias("grams")) for n, g in grams])
-    exploded = ready.select(*keys, "is_hyp", F.inline(orders)).select(
-        *keys, "is_hyp", "order", F.explode("grams").alias("gram"))
-    counted = exploded.groupBy(*keys, "order", "gram").agg(
-        F.sum("is_hyp").alias("h"), F.sum(1 - F.col("is_hyp")).alias("r"))
-    return counted.groupBy(*keys, "order").agg(
-        F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"), F.sum(F.least("h", "r")).alias("n_match"))
-
-
-def chrf_statistics(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
-                    group: Sequence[str] = ()) -> DataFrame:
+    keep = list(keep)
+    schema = T.StructType([
+        *[df.schema[name] for name in keep],
+        *[T.StructField(n, T.IntegerType()) for n in ("order", "n_hyp", "n_ref", "n_match", "n_shared")],
+    ])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, counts = [], []
+            for row in range(batch.num_rows):
+                r, h = (batch.column(len(keep) + i)[row].as_py() for i in (0, 1))
+                if r is None or h is None:
+                    continue
+                sides = (code_points(r), code_points(h)) if isinstance(r, str) else shared_ids(r, h)
+                found = list(gram_counts(*sides, orders))
+                at += [row] * len(found)
+                counts += found
+            table = np.array(counts, dtype=np.int32).reshape(-1, 5)
+            table[:, 0] += shift
+            columns = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(len(keep))]
+            columns += [pa.array(table[:, i]) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.select(*keep, ref, hyp).mapInArrow(run, schema)
+
+
+def chrf_statistics(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
     """Corpus sums per order: characters 1..6, then words as orders 7..8.
 
     A row's hypothesis n-grams count only where its reference has any.
     """
-    t = F.col("t")
-    prepared = {"packed": F.regexp_replace(t, WS_RUN, ""), "tokens": _split_word_marks(t)}
-    grams = [(n, _char_grams(F.col("packed"), n)) for n in CHAR_ORDERS]
-    grams += [(len(CHAR_ORDERS) + n, _token_grams(F.col("tokens"), n)) for n in WORD_ORDERS]
-    rows = _gram_statistics(df, key, group, ref, hyp, prepared, grams)
+    packed = df.select(*group, *[F.regexp_replace(c, WS_RUN, "").alias(c) for c in (ref, hyp)])
+    tokens = df.select(*group, *[_split_word_marks(F.col(c)).alias(c) for c in (ref, hyp)])
+    rows = gram_statistics(packed, group, ref, hyp, CHAR_ORDERS).unionByName(
+        gram_statistics(tokens, group, ref, hyp, WORD_ORDERS, shift=len(CHAR_ORDERS)))
     counted = F.when(F.col("n_ref") > 0, F.col("n_hyp")).otherwise(F.lit(0))
     return rows.groupBy(*group, "order").agg(
         F.sum(counted).alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
     )
 
 
-def chrf_plus_plus(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
-                   group: Sequence[str] = ()) -> DataFrame:
+def chrf_plus_plus(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
     """Corpus chrF++ per group (one row without a group)."""
-    stats = chrf_statistics(df, key, ref, hyp, group)
+    stats = chrf_statistics(df, ref, hyp, group)
     live = (F.col("n_hyp") > 0) & (F.col("n_ref") > 0)
     means = stats.groupBy(*group).agg(
         F.avg(F.when(live, F.col("n_match") / F.col("n_hyp"))).alias("p"),
@@ -135,18 +132,16 @@ def tokenize_13a(text: Column | str) -> Column:
     return words(t)
 
 
-def bleu_statistics(df: DataFrame, key: Sequence[str], ref: str, hyp: str,
-                    group: Sequence[str] = ()) -> DataFrame:
-    grams = [(n, _token_grams(F.col("tokens"), n)) for n in BLEU_ORDERS]
-    rows = _gram_statistics(df, key, group, ref, hyp, {"tokens": tokenize_13a("t")}, grams)
-    return rows.groupBy(*group, "order").agg(
+def bleu_statistics(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
+    tokens = df.select(*group, *[tokenize_13a(c).alias(c) for c in (ref, hyp)])
+    return gram_statistics(tokens, group, ref, hyp, BLEU_ORDERS).groupBy(*group, "order").agg(
         F.sum("n_hyp").alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
     )
 
 
-def bleu(df: DataFrame, key: Sequence[str], ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
+def bleu(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
     """Corpus BLEU per group, exponential smoothing, 0 if an order has no n-gram."""
-    stats = bleu_statistics(df, key, ref, hyp, group)
+    stats = bleu_statistics(df, ref, hyp, group)
     at = {n: F.max(F.when(F.col("order") == n, F.struct("n_hyp", "n_ref", "n_match"))) for n in BLEU_ORDERS}
     wide = stats.groupBy(*group).agg(*[at[n].alias(f"o{n}") for n in BLEU_ORDERS])
     log_sum, misses = F.lit(0.0), F.lit(0)
@@ -165,8 +160,7 @@ def bleu(df: DataFrame, key: Sequence[str], ref: str, hyp: str, group: Sequence[
     return wide.select(*group, F.coalesce(score, F.lit(0.0)).alias("bleu"))
 
 
-def compare_systems(df: DataFrame, key: Sequence[str], ref: str, hyp: str, system: str,
-                    baseline: str) -> DataFrame:
+def compare_systems(df: DataFrame, ref: str, hyp: str, system: str, baseline: str) -> DataFrame:
     """Per system: chrF++, BLEU, mean lengths and the chrF++ gain over a baseline."""
     sizes = df.groupBy(system).agg(
         F.count(F.lit(1)).alias("n"),
@@ -174,12 +168,12 @@ def compare_systems(df: DataFrame, key: Sequence[str], ref: str, hyp: str, syste
         F.avg(F.char_length(ref)).alias("mean_ref_chars"),
     )
     scores = (
-        sizes.join(chrf_plus_plus(df, key, ref, hyp, [system]), system)
-        .join(bleu(df, key, ref, hyp, [system]), system)
+        sizes.join(chrf_plus_plus(df, ref, hyp, [system]), system)
+        .join(bleu(df, ref, hyp, [system]), system)
     )
-    # One row per system: compare inside the grouped result, over systems only.
-    base = scores.where(F.col(system) == baseline).select(F.col("chrf"))
-    return scores.withColumn("chrf_gain", F.col("chrf") - base.scalar())
+    # One row per system, so a window over all of them is small.
+    base = F.max(F.when(F.col(system) == baseline, F.col("chrf"))).over(W.partitionBy(F.lit(0)))
+    return scores.withColumn("chrf_gain", F.col("chrf") - base)
 
 
 # ---- alignment ------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..functions.metrics import agreement_cer
 from ..operators import dedupe, joins, labels, packing, reports, splits
 from ..session import shared_dir, stored
 from ..streaming.inbox import ingest_inbox
-from .adapters import agreement, crops, label_rows, photos, readings, table, with_views
+from .adapters import agreement, crops, label_rows, photos, readings, spread, table, with_views
 from .registry import query
 from .text_queries import hash_sql
 
@@ -274,7 +274,7 @@ def d13(spark, sf_dir):
       SELECT unnest(regexp_split_to_array(text, '[।॥.!?\\n]|\\|\\|?')) AS s FROM documents)
     WHERE len(regexp_extract_all(s, '\\S+')) BETWEEN 4 AND 35""")
 def e1(spark, sf_dir):
-    return dedupe.distinct_sentences(docs(spark, sf_dir), "text")
+    return dedupe.distinct_sentences(spread(docs(spark, sf_dir), "doc_id"), "text")
 
 
 @query("e2_first_per_signature", with_views(f"""

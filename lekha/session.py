@@ -15,6 +15,9 @@ def local_session(cores: int | str = 8, app: str = "lekha", **conf: str) -> Spar
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Edit distances and alignments cost far more per byte than a scan, so
+        # small shuffles must not be merged into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
