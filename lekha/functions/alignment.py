@@ -48,16 +48,17 @@ def align_codes(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         starts.append(table[-1])
 
     i, j = n, m
+    ref_items, hyp_items = ref.tolist(), hyp.tolist()  # plain numbers compare faster one by one
     while i > 0 and j > 0:
         if i <= base:
             base -= block
             table = _rows(starts[base // block], ref, hyp, base, base + block)
-        here, above = table[i - base][j], table[i - base - 1]
-        if here == above[j - 1] - (ref[i - 1] == hyp[j - 1]):
+        here, above = table[i - base].item(j), table[i - base - 1]
+        if here == above.item(j - 1) - (ref_items[i - 1] == hyp_items[j - 1]):
             i, j = i - 1, j - 1
             pairs_r.append(i)
             pairs_h.append(j)
-        elif here == above[j] + 1:
+        elif here == above.item(j) + 1:
             i -= 1
             pairs_r.append(i)
             pairs_h.append(-1)

@@ -121,22 +121,22 @@ def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], group: Seq
     w = W.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first())
     upto = F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))
     placed = inside.select(*keys, "i", "n", "rank", "v", "c", upto.alias("upto")).where("v is not null")
-    low_rank, high_rank = F.floor("rank"), F.ceil("rank")
 
-    def at_rank(rank: Column) -> Column:
-        hit = (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+    def at_rank(i: int, rank: Column) -> Column:
+        hit = (F.col("i") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
         return F.max(F.when(hit, F.col("v")))
 
-    picked = placed.groupBy(*keys, "i", "n", "rank").agg(
-        at_rank(low_rank).alias("lo"), at_rank(high_rank).alias("hi")
-    )
-    missed = F.raise_error(F.lit("percentile bracket missed its rank"))
-    exact = F.when(F.col("lo").isNull() | F.col("hi").isNull(), missed.cast("double")).otherwise(
-        F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rank") - F.floor("rank"))
-    )
-    out = picked.select(*keys, "i", "n", exact.alias("q")).groupBy(*keys, "n").agg(
-        F.sort_array(F.collect_list(F.struct("i", "q")))["q"].alias("p")
-    )
+    picked = placed.groupBy(*keys, "n").agg(*[
+        at_rank(i, end("rank")).alias(f"{name}{i}")
+        for i in range(k) for name, end in (("lo", F.floor), ("hi", F.ceil))
+    ])
+
+    def exact(i: int) -> Column:
+        lo, hi, rank = F.col(f"lo{i}"), F.col(f"hi{i}"), F.lit(at[i]) * (F.col("n") - 1)
+        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+        return F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (rank - F.floor(rank)))
+
+    out = picked.select(*keys, "n", F.array(*[exact(i) for i in range(k)]).alias("p"))
     return out.select(*group, "n", "p")
 
 
