@@ -63,18 +63,15 @@ def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -
         key, walk = None, None
         for batch in batches:
             keys, lps, wanted = batch.column(0), batch.column(2), batch.column(3)
-            flat = lps.flatten().to_numpy(zero_copy_only=False)
-            at = 0
+            is_frame = lps.is_valid().to_numpy(zero_copy_only=False)
+            values, edges = lps.values.to_numpy(zero_copy_only=False), lps.offsets.to_numpy()
             for i in range(batch.num_rows):
-                if lps[i].is_valid:
-                    width = len(lps[i])
+                if not is_frame[i]:
                     if walk is not None:
-                        walk.feed(flat[at:at + width])
-                    at += width
-                    continue
-                if walk is not None:
-                    yield finish(key, walk)
-                key, walk = keys[i].as_py(), ViterbiLine(wanted[i].as_py() or [], BLANK)
+                        yield finish(key, walk)
+                    key, walk = keys[i].as_py(), ViterbiLine(wanted[i].as_py() or [], BLANK)
+                elif walk.targets:
+                    walk.feed(values[edges[i]:edges[i + 1]])
         if walk is not None:
             yield finish(key, walk)
 

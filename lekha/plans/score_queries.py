@@ -11,7 +11,7 @@ from ..operators import consensus, frames as fr, reports, scoring, splits
 from ..operators.dedupe import first_per_signature, one_per_page
 from ..operators.ranking import exact_percentiles
 from ..session import stored
-from .adapters import agreement, cer_sql, frames, kannada, lev, pairs, photos, readings, table, truth, with_views
+from .adapters import agreement, cer_sql, frames, kannada, lev, pairs, photos, readings, spread, table, truth, with_views
 from .registry import query
 from .text_queries import hash_sql, tokens
 
@@ -228,7 +228,7 @@ def g10(spark, sf_dir):
       SELECT unnest(string_split(replace(text, 'e', 'a'), '')) AS p, unnest(string_split(text, '')) AS t FROM documents)
     WHERE t <> ' '""")
 def g12(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.transform(F.split(F.replace("text", F.lit("e"), F.lit("a")), ""), F.ascii).alias("p"),
         F.transform(F.split("text", ""), F.ascii).alias("t"))
     return rounded(scoring.position_accuracy(rows, "p", "t", ord(" ")), "accuracy")
@@ -265,7 +265,7 @@ def f3(spark, sf_dir):
     SELECT source, l AS letter, sum(len(string_split(text, l)) - 1) AS total, count(*) FILTER (WHERE contains(text, l)) AS lines
     FROM documents, (VALUES ('é'), ('ß')) v(l) GROUP BY source, l""")
 def f7(spark, sf_dir):
-    return reports.letter_counts(table(spark, sf_dir, "documents"), "text", ["é", "ß"], "source")
+    return reports.letter_counts(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", ["é", "ß"], "source")
 
 
 @query("f8_tag_counts", """
@@ -347,7 +347,7 @@ def f15(spark, sf_dir):
     SELECT lang, count(*) AS n, round(avg(1 - len(list_distinct(w)) / len(w)), 5) AS mean_repetition
     FROM (SELECT lang, regexp_extract_all(text, '\\S+') AS w FROM documents) GROUP BY lang""")
 def f16(spark, sf_dir):
-    out = reports.repetition_report(table(spark, sf_dir, "documents"), "text", ["lang"])
+    out = reports.repetition_report(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", ["lang"])
     return rounded(out, "mean_repetition", digits=5)
 
 
@@ -414,7 +414,7 @@ def f25(spark, sf_dir):
       SELECT lang, rule, text, len(regexp_extract_all(text, pattern)) AS n FROM documents,
         (VALUES ('digit', '[0-9]'), ('capital', '[A-Z]')) v(rule, pattern)) GROUP BY lang, rule""")
 def f26(spark, sf_dir):
-    out = reports.pattern_report(table(spark, sf_dir, "documents"), "text", {"digit": "[0-9]", "capital": "[A-Z]"}, ["lang"])
+    out = reports.pattern_report(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", {"digit": "[0-9]", "capital": "[A-Z]"}, ["lang"])
     return out.withColumn("char_share", F.round("char_share", 8)).withColumn("line_share", F.round("line_share", 6))
 
 
