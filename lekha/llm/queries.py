@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, quality, secrets, toxicity
+from . import html_text, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
 @_query
@@ -53,3 +54,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@_query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
