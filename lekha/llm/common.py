@@ -25,6 +25,20 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def with_text(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, held in ``__row``, with the text in ``__text``; ``n_chars`` follows where the text changed."""
+    out = []
+    for f in docs.schema.fields:
+        value = F.col("__row").getField(f.name)
+        if f.name == "text":
+            value = F.col("__text")
+        elif f.name == "n_chars":
+            same = F.col("__row.text").eqNullSafe(F.col("__text"))
+            value = F.when(same, value).otherwise(F.char_length("__text").cast(f.dataType))
+        out.append(value.alias(f.name))
+    return df.select(*out)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 12 << 20):
     """Slices of a batch whose texts hold about ``most`` bytes (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

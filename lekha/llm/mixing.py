@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 from ..session import stored
-from .common import n_words
+from .common import n_words, with_text
 
 ROUNDS = 12
 BUCKET_ROWS = 4000
@@ -178,7 +178,8 @@ def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     plan = chosen.groupBy(*KEY, "size").agg(
         F.sum("n").alias("taken"), F.max("round").alias("rounds"),
         F.array_sort(F.collect_list(F.struct("round", "from", "n"))).alias("parts"))
-    keyed = _keyed(docs.withColumn("text_hash", F.xxhash64("text")))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")  # other columns may bear any name
+    keyed = _keyed(docs.select(row, "doc_id", "source", "text", F.xxhash64("text").alias("text_hash")))
     plan = plan.select(*[F.col(k).alias(f"k_{k}") for k in KEY], "size", "taken", "rounds", "parts")
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in KEY]
     joined = keyed.join(plan, same[0] & same[1] & same[2] & same[3])
@@ -186,7 +187,4 @@ def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     cut = let(words, lambda w: F.array_join(F.transform(
         "parts", lambda p: F.array_join(F.slice(w, p["from"].cast("int") + 1, p["n"].cast("int")), "")), ""))
     text = F.when((F.col("rounds") == 1) & (F.col("taken") == F.col("size")), F.col("text")).otherwise(F.rtrim(cut, F.lit("\n")))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return with_text(joined.withColumn("__text", text), docs)

@@ -44,7 +44,7 @@ ALLOWED = (
     re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[/_-](?:[A-Za-z]+|[0-9]+))+\Z"),  # words and numbers joined: paths, slugs
     re.compile(r"(?i).*(?:example|placeholder|changeme|xxxxx|abcdefgh|01234567|12345678)"),
 )
-STEP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+STEP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]
 
 
 def dense(run: str, window: int = WINDOW) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lekha.functions.expr import let
 from lekha.llm import (html_text, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, suffix_dedup,
                        toxicity)
 from lekha.llm.queries import tokenizer_path
@@ -237,9 +238,8 @@ def test_line_dedup(spark):
     docs = frame(spark, [(k, t, "s") for k, t in lines.items()] + [(5, lines[5], "s")])
     got = {r["doc_id"]: r for r in line_dedup.line_report(docs).collect()}
     assert got[1]["removed"] == "1" and got[None]["removed"] == "" and got[5]["n_removed"] == 0
-    near_sims = docs.where("doc_id in (1, 2)").select(F.explode(F.split("text", "\n")).alias("l")).where("length(l) > 100").select(
-        line_dedup.simhash(F.split(line_dedup.normal(F.col("l")), " +")).alias("s")).collect()
-    close = bin((near_sims[0]["s"] ^ near_sims[1]["s"]) & (2 ** 64 - 1)).count("1") <= line_dedup.DISTANCE
+    near_sims = [r["sim"] for r in line_dedup._lines(docs.where("doc_id in (1, 2)")).collect() if r["chars"] > 100]
+    close = bin((near_sims[0] ^ near_sims[1]) & (2 ** 64 - 1)).count("1") <= line_dedup.DISTANCE
     assert got[2]["removed"] == ("0,1" if close else "0")
     assert got[3]["n_lines"] == 0 and got[4]["n_lines"] == 1
     out = line_dedup.deduped_documents(docs)
@@ -252,14 +252,13 @@ def test_simhash_counts_bits(spark):
     rng = random.Random(4)
     rows = [(n, " ".join(sentence(rng, 1) for _ in range(n))) for n in (5, 6, 127, 128, 300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
-    by_words = {r["doc_id"]: r["sim"] for r in line_dedup._lines(docs).collect()}
-    by_array = {r["doc_id"]: r["s"] for r in docs.select("doc_id", line_dedup.simhash(F.split("text", " ")).alias("s")).collect()}
-    norm = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.transform(F.split(line_dedup.normal(F.col("text")), " +"), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    words = F.transform(F.split(line_dedup.normal(F.col("text")), " +"), lambda w: F.xxhash64(w))
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", words.alias("h")).collect()}
+    by_sums = {r["doc_id"]: r["sim"] for r in line_dedup._lines(docs).collect()}
+    by_array = {r["doc_id"]: r["s"] for r in docs.select("doc_id", let(words, lambda h: line_dedup._fingerprint(h, 32)).alias("s")).collect()}
     for n, h in hashes.items():
-        for given, values in ((by_array, h), (by_words, norm[n])):
-            want = sum(1 << b for b in range(64) if sum((x >> b) & 1 for x in values) > len(values) // 2)
-            assert given[n] & (2 ** 64 - 1) == want
+        want = sum(1 << b for b in range(64) if sum((x >> b) & 1 for x in h) > len(h) // 2)
+        assert by_sums[n] & (2 ** 64 - 1) == want and by_array[n] & (2 ** 64 - 1) == want
 
 
 def test_suffix_dedup(spark, corpus, monkeypatch):
