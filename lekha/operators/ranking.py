@@ -28,6 +28,16 @@ def _offsets(df: DataFrame, group: Sequence[str], amount: Column) -> DataFrame:
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join on columns of equal names in which null equals null."""
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return left.join(renamed, same).drop(*names.values())
+
+
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], chunk: Column,
               name: str = "rank", at_most: int | Column | None = None) -> DataFrame:
     """Exact row number from 1 within each group, in the given order.
@@ -44,14 +54,14 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
     """Exact running sum of ``amount`` over the group's earlier rows.
 
     With ``inclusive`` the row itself counts too. ``at_most`` drops rows
-    whose sum exceeds it. Chunks hold no nulls.
+    whose sum exceeds it. Null groups and null chunks count as values.
     """
     group = list(group)
     chunked = df.withColumn(_CHUNK, chunk)
     offsets = _offsets(chunked, group, amount)
     if at_most is not None:
         offsets = offsets.where(F.col(_OFFSET) <= at_most)
-    joined = chunked.join(offsets, [*group, _CHUNK])
+    joined = join_null_safe(chunked, offsets, [*group, _CHUNK])
     inner = W.partitionBy(*group, _CHUNK).orderBy(*order)
     inner = inner.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     out = joined.withColumn(name, F.col(_OFFSET) + F.coalesce(F.sum(amount).over(inner), F.lit(0)))
@@ -109,7 +119,7 @@ def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], group: Seq
     # One row per (group, bracket, value inside it), plus the count below it.
     if group:
         brackets = bounds.select(*keys, "n", F.explode(wanted).alias("w"))
-        tagged = rows.join(brackets, keys)
+        tagged = join_null_safe(rows, brackets, keys)
     else:  # one row of bounds: a scalar subquery, not a join
         one = bounds.select(F.transform(wanted, lambda s: F.struct(F.col("n").alias("n"), s.alias("w"))))
         tagged = rows.withColumn("x", F.explode(one.scalar())).select("*", "x.n", "x.w")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, draw_chunk, in_hash_split
-from .ranking import sample_n, with_rank, with_running_sum
+from .ranking import join_null_safe, sample_n, with_rank, with_running_sum
 
 
 def hash_split(df: DataFrame, key: str, prefix: str, threshold: int, name: str = "is_test") -> DataFrame:
@@ -54,7 +54,7 @@ def stratified(df: DataFrame, group: str, key: str, limit: int, seed: int = 0) -
     # Every group keeps a row, so at most ``limit`` groups can matter.
     kept = within.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).orderBy(group).limit(limit)
     offset = kept.select(group, _sum_before("__n", group).alias("__offset"))
-    out = within.join(offset, group).where(F.col("__offset") + F.col("__in_group") <= limit)
+    out = join_null_safe(within, offset, [group]).where(F.col("__offset") + F.col("__in_group") <= limit)
     return out.drop("__draw", "__in_group", "__offset")
 
 
@@ -72,7 +72,7 @@ def whole_pages(df: DataFrame, page: str, position: str, limit: int, group: Colu
     grouped = df.withColumn("__g", F.lit("") if group is None else group)
     sizes = grouped.groupBy("__g", page).agg(F.count(F.lit(1)).alias("__n")).orderBy("__g", page).limit(limit)
     starts = sizes.withColumn("__before", _sum_before("__n", "__g", page)).where(F.col("__before") < limit)
-    rows = grouped.join(starts.select("__g", page, "__before"), ["__g", page])
+    rows = join_null_safe(grouped, starts.select("__g", page, "__before"), ["__g", page])
     ranked = with_rank(rows, ["__g", page], [position], F.floor(F.col(position) / 65536), "__pos")
     return ranked.where(F.col("__before") + F.col("__pos") <= limit).drop("__g", "__before", "__pos")
 

@@ -32,7 +32,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = turns.where("role = 'assistant'").select(
         "conv_id", F.col("turn").alias("next"), F.col("text").alias("modern_text"))
     return user.join(reply, ["conv_id", "next"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "old_text", "modern_text")
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"), "old_text", "modern_text")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +60,14 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_id():
-    return F.concat_ws("_", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.col("turn")).alias("crop")
+    return F.concat_ws("_", F.lpad(F.col("conv_id").cast("string"), 19, "0"), F.lpad(F.col("turn").cast("string"), 10, "0")).alias("crop")
 
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(crop, page, position, width, height): a manifest for the turns."""
     return table(spark, sf_dir, "conversations").select(
         crop_id(), F.concat_ws(".", "role", F.expr("conv_id div 8")).alias("page"),
-        (F.col("conv_id") * 100 + F.col("turn")).alias("position"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("position"),
         (8 * F.char_length("text") + 40 * (F.col("conv_id") % 7)).cast("int").alias("width"),
         F.when(F.col("turn") == 7, 0).otherwise(64).alias("height"),
     )
@@ -160,7 +160,7 @@ def cer_sql(ref: str, hyp: str) -> str:
 
 VIEWS = {
     "pairs": ([], """
-        SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS old_text, a.text AS modern_text
+        SELECT u.conv_id * 1000000 + u.turn AS pair_id, u.text AS old_text, a.text AS modern_text
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE u.role = 'user' AND a.role = 'assistant'"""),
     "readings": ([], """
@@ -170,14 +170,14 @@ VIEWS = {
         FROM benchmark, range(6) r(i)"""),
     "label_rows": ([], """
         SELECT * FROM (
-          SELECT lpad(conv_id::VARCHAR, 8, '0') || '_' || turn AS crop, l AS labeller,
+          SELECT lpad(conv_id::VARCHAR, 19, '0') || '_' || lpad(turn::VARCHAR, 10, '0') AS crop, l AS labeller,
             CASE l WHEN 'alpha' THEN CASE WHEN role = 'system' THEN ' ' || substr(text, 1, 4) ELSE text END
                    WHEN 'beta' THEN CASE WHEN role <> 'system' THEN replace(replace(text, 'eau', 'o'), 'en', '') END
                    ELSE CASE WHEN role = 'assistant' THEN replace(text, 'e', '') END END AS text
           FROM conversations, (VALUES ('alpha'), ('beta'), ('gamma')) v(l)) WHERE text IS NOT NULL"""),
     "crops": ([], """
-        SELECT lpad(conv_id::VARCHAR, 8, '0') || '_' || turn AS crop, role || '.' || (conv_id // 8) AS page,
-               conv_id * 100 + turn AS position, 8 * length(text) + 40 * (conv_id % 7) AS width,
+        SELECT lpad(conv_id::VARCHAR, 19, '0') || '_' || lpad(turn::VARCHAR, 10, '0') AS crop, role || '.' || (conv_id // 8) AS page,
+               conv_id * 1000000 + turn AS position, 8 * length(text) + 40 * (conv_id % 7) AS width,
                CASE WHEN turn = 7 THEN 0 ELSE 64 END AS height
         FROM conversations"""),
     "frames": ([], """

@@ -107,7 +107,7 @@ def a7(spark, sf_dir):
         F.concat(F.lit("c"), "item_id").alias("crop"), F.concat(F.lit("\n v"), "v", F.lit("  "), "text").alias("text"),
         ((F.col("v") == 2) & F.col("text").contains("the")).alias("illegible"))
     doc = F.when(F.col("v") == 1, F.to_json(F.struct(body.alias("data")))).otherwise(F.to_json(body))
-    named = rows.select(doc.alias("value"), F.concat_ws("-", F.lpad(F.col("item_id").cast("string"), 9, "0"), "v").alias("doc"))
+    named = rows.select(doc.alias("value"), F.concat_ws("-", F.lpad(F.col("item_id").cast("string"), 19, "0"), "v").alias("doc"))
     named.repartition("doc").write.partitionBy("doc").text(path)
     return readers.read_gold_dir(spark, f"{path}/*/*").select("crop", "text")
 
@@ -517,7 +517,7 @@ def b26(spark, sf_dir):
 
 
 @query("b27_review_tokens", """
-    SELECT conv_id * 1000 + turn AS sentence_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token, role AS tag
+    SELECT conv_id * 1000000 + turn AS sentence_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS token, role AS tag
     FROM (SELECT *, regexp_extract_all(text, '\\S+') AS l FROM conversations)""")
 def b27(spark, sf_dir):
     return tokens(spark, sf_dir)
@@ -525,7 +525,7 @@ def b27(spark, sf_dir):
 
 def tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sentence_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("sentence_id"),
         F.posexplode(words("text")).alias("pos", "token"), F.col("role").alias("tag"))
 
 

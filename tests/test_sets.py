@@ -234,3 +234,15 @@ def test_scaling_fit_of_published_points(spark):
     got = fit.first()
     assert got["slope"] == pytest.approx(-0.0184, abs=1e-4) and got["intercept"] == pytest.approx(0.824, abs=1e-3)
     assert reports.extrapolate(fit, [1024]).first()["score"] == pytest.approx(0.824 - 0.184, abs=2e-3)
+
+
+def test_null_groups_keep_their_rows(spark):
+    from lekha.operators import ranking, splits
+
+    rows = [(None if k % 4 == 0 else f"p{k % 3}", k, float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page string, pos long, v double")
+    out = splits.holdout_every(df, "page", ["pos"], 5, F.floor(F.col("pos") / 16)).collect()
+    assert sorted(r["pos"] for r in out) == list(range(40))
+    got = {r["page"]: (r["n"], r["p"][0]) for r in ranking.exact_percentiles(df, "v", [0.5], ["page"]).collect()}
+    assert got[None] == (10, 18.0)
+    assert splits.whole_pages(df, "page", "pos", 100).count() == 40
