@@ -75,53 +75,84 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-class ViterbiLine:
-    """Best path of one line through its blank-extended targets, frame by frame.
+Line = tuple[list[int], np.ndarray]  # targets; per frame the score of the blank, then of every target
 
-    Holds one score per state plus one back-pointer byte per frame and state.
-    """
+_TOGETHER = 8_000_000  # cells of the padded block of lines that advance together
+_LEAST = np.float32(-1e20)
+
+
+def frames_needed(targets: list[int]) -> int:
+    """Frames a line must have: one per target, one more between equal neighbours."""
+    return len(targets) + sum(a == b for a, b in zip(targets, targets[1:]))
 
-    def __init__(self, targets: list[int], blank: int = 0) -> None:
-        self.targets = targets
-        states = np.full(2 * len(targets) + 1, blank, dtype=np.int64)
-        states[1::2] = targets
-        self.states = states
-        self.may_skip = np.zeros(len(states), dtype=bool)
-        self.may_skip[2:] = (states[2:] != blank) & (states[2:] != states[:-2])
-        self.score: np.ndarray | None = None
-        self.back: list[np.ndarray] = []
-
-    @property
-    def least_frames(self) -> int:
-        t = self.targets
-        return len(t) + sum(a == b for a, b in zip(t, t[1:]))
-
-    def feed(self, log_probs: np.ndarray) -> None:
-        """Take the next frame's vector."""
-        emit = log_probs[self.states]
-        floor = np.float32(-1e30)
-        if self.score is None:
-            self.score = np.full(len(emit), floor, dtype=np.float32)
-            self.score[:2] = emit[:2]
-            return
-        options = np.full((3, len(emit)), floor, dtype=np.float32)
-        options[0] = self.score
-        options[1, 1:] = self.score[:-1]
-        options[2, 2:] = np.where(self.may_skip[2:], self.score[:-2], floor)
-        step = options.argmax(axis=0)  # ties: stay, then previous, then skip
-        self.score = np.take_along_axis(options, step[None], axis=0)[0] + emit
-        self.back.append(step.astype(np.int8))
-
-    def labels(self) -> np.ndarray | None:
-        """True label per frame, or None when the line cannot hold its targets."""
-        n_frames = len(self.back) + (self.score is not None)
-        if not self.targets or n_frames < self.least_frames or self.score is None:
-            return None
-        last = len(self.states) - 1
-        state = last if self.score[last] >= self.score[last - 1] else last - 1
-        path = np.empty(n_frames, dtype=np.int64)
-        path[-1] = state
-        for t in range(n_frames - 1, 0, -1):
-            state -= int(self.back[t - 1][state])
-            path[t - 1] = state
-        return self.states[path].astype(np.int32)
+
+def best_labellings(lines: list[Line], blank: int = 0) -> list[np.ndarray | None]:
+    """Per line the best label of every frame, or None where the frames cannot hold the targets.
+
+    Lines of similar length advance together, one numpy step per time step.
+    """
+    out: list[np.ndarray | None] = [None] * len(lines)
+    able = [i for i, (targets, scores) in enumerate(lines) if targets and len(scores) >= frames_needed(targets)]
+    able.sort(key=lambda i: -len(lines[i][1]))
+    group: list[int] = []
+    widest = 0
+    for i in able:
+        width = max(widest, len(lines[i][0]) + 1)
+        if group and (len(group) + 1) * width * len(lines[group[0]][1]) > _TOGETHER:
+            _solve([lines[j] for j in group], group, out, blank)
+            group, width = [], len(lines[i][0]) + 1
+        group.append(i)
+        widest = width
+    if group:
+        _solve([lines[j] for j in group], group, out, blank)
+    return out
+
+
+def _solve(group: list[Line], places: list[int], out: list, blank: int) -> None:
+    """Advance lines, longest first, in two layers: ``on[k]`` ends on target k,
+    ``between[k]`` ends on a blank after k targets."""
+    n, wide = len(group), max(len(targets) for targets, _ in group)
+    count = np.array([len(scores) for _, scores in group])
+    ends = np.array([len(targets) for targets, _ in group])
+    scores = np.zeros((count[0], n, wide + 1), np.float32)
+    wanted = np.full((n, wide), blank, np.int32)
+    for i, (targets, own) in enumerate(group):
+        scores[:len(own), i, :len(targets) + 1] = np.maximum(own, _LEAST)
+        wanted[i, :len(targets)] = targets
+    adjacent = np.zeros((n, wide), bool)  # may follow the target before it without a blank
+    adjacent[:, 1:] = wanted[:, 1:] != wanted[:, :-1]
+    running = [int(np.searchsorted(-count, -t)) for t in range(count[0])]  # lines with more than t frames
+
+    on = np.full((n, wide), -np.inf, np.float32)
+    between = np.full((n, wide + 1), -np.inf, np.float32)
+    between[:, 0], on[:, 0] = scores[0, :, 0], scores[0, :, 1]
+    entered = np.zeros((count[0], n, wide), np.uint8)  # 0 stayed, 1 from the blank before, 2 from the target before
+    closed = np.zeros((count[0], n, wide + 1), bool)  # the blank follows its target at once
+    for t in range(1, count[0]):
+        m = running[t]
+        last, quiet = on[:m], between[:m]
+        from_target = np.full((m, wide), -np.inf, np.float32)
+        from_target[:, 1:] = np.where(adjacent[:m, 1:], last[:, :-1], -np.inf)
+        best = np.maximum(last, quiet[:, :-1])
+        entered[t, :m] = quiet[:, :-1] > last
+        entered[t, :m][from_target > best] = 2
+        closed[t, :m, 1:] = last > quiet[:, 1:]
+        quiet[:, 1:] = np.maximum(quiet[:, 1:], last)
+        quiet += scores[t, :m, :1]
+        on[:m] = np.maximum(best, from_target) + scores[t, :m, 1:]
+
+    line = np.arange(n)
+    silent = between[line, ends] >= on[line, ends - 1]
+    at = np.where(silent, ends, ends - 1)
+    labels = np.empty((count[0], n), np.int32)
+    for t in range(count[0] - 1, -1, -1):
+        m = running[t]
+        rows, here, quiet = line[:m], at[:m], silent[:m]
+        target = np.where(quiet, 0, here)
+        labels[t, :m] = np.where(quiet, blank, wanted[rows, target])
+        how = entered[t, rows, target]
+        leaves = quiet & closed[t, rows, np.where(quiet, here, 0)]
+        at[:m] = here - (leaves | (~quiet & (how == 2)))
+        silent[:m] = np.where(quiet, ~leaves, how == 1)
+    for i, place in enumerate(places):
+        out[place] = labels[:count[i], i]

@@ -120,6 +120,6 @@ def consensus_summary(bases: DataFrame, slots: DataFrame, uncertain: DataFrame,
     return out.withColumn("fraction_uncertain", F.col("n_uncertain") / F.col("n_chars"))
 
 
-def branches_differ(df: DataFrame, a: str = "b3", b: str = "b4") -> DataFrame:
+def branches_differ(df: DataFrame, a: str, b: str) -> DataFrame:
     """NULL where either branch is missing."""
     return df.withColumn("branches_differ", F.col(a) != F.col(b))

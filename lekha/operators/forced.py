@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.alignment import ViterbiLine
+from ..functions.alignment import best_labellings
 from ..functions.vectors import argmax, softmax, top_k
 from .frames import BLANK, runs
 from .ranking import exact_percentiles
 
 PIXELS_PER_FRAME = 8
+BLOCK_CELLS = 4_000_000  # scores of complete lines a task holds before it aligns them
 # A cut glyph is dropped below 2 px or above a quarter of its line.
 LEAST_GLYPH_PX = 2
 MAX_SPAN_SHARE = 0.25
@@ -26,8 +27,8 @@ def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -
 
     ``targets(line, targets array<int>)``. Each line's targets travel once, as
     a header row sorted before its frames; a task then walks its lines as a
-    stream and keeps only one line's back-pointers. A line that is too short
-    or has no targets gives one row with a NULL frame.
+    stream and aligns complete lines in blocks of bounded size. A line that is
+    too short or has no targets gives one row with a NULL frame.
     """
     line_type = frames.schema[line].dataType
     out = T.StructType([
@@ -46,34 +47,40 @@ def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -
     # placed by line: no later step would ask for that placement again.
     ordered = header.unionByName(body).repartition(F.xxhash64(line)).sortWithinPartitions(line, "frame")
 
-    def finish(key, walk: ViterbiLine) -> pa.RecordBatch:
-        labels = walk.labels()
-        if labels is None:
-            columns = [[key], [None], [None]]
-        else:
-            columns = [[key] * len(labels), np.arange(len(labels), dtype=np.int32), labels]
-        arrays = [pa.array(c, type=t) for c, t in zip(columns, arrow_types)]
-        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out.fields])
-
     arrow_types = [pa.string() if isinstance(line_type, T.StringType) else pa.int64(), pa.int32(), pa.int32()]
     if isinstance(line_type, T.IntegerType):
         arrow_types[0] = pa.int32()
 
+    def aligned(lines: list[tuple]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((0, 1), np.float32)
+        found = best_labellings([(targets, np.concatenate(parts) if parts else none) for _, targets, parts in lines], BLANK)
+        keys, frame, label = [], [], []
+        for (key, _, _), labels in zip(lines, found):
+            keys += [key] * (1 if labels is None else len(labels))
+            frame += [None] if labels is None else range(len(labels))
+            label += [None] if labels is None else labels.tolist()
+        arrays = [pa.array(c, type=t) for c, t in zip([keys, frame, label], arrow_types)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out.fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, walk = None, None
+        lines: list[tuple] = []  # (key, targets, scores by batch); the last one may still grow
+        held = 0
         for batch in batches:
             keys, lps, wanted = batch.column(0), batch.column(2), batch.column(3)
-            is_frame = lps.is_valid().to_numpy(zero_copy_only=False)
+            headers = np.flatnonzero(~lps.is_valid().to_numpy(zero_copy_only=False)).tolist()
             values, edges = lps.values.to_numpy(zero_copy_only=False), lps.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                if not is_frame[i]:
-                    if walk is not None:
-                        yield finish(key, walk)
-                    key, walk = keys[i].as_py(), ViterbiLine(wanted[i].as_py() or [], BLANK)
-                elif walk.targets:
-                    walk.feed(values[edges[i]:edges[i + 1]])
-        if walk is not None:
-            yield finish(key, walk)
+            for first, stop in zip([-1, *headers], [*headers, batch.num_rows]):
+                if first >= 0:
+                    if held > BLOCK_CELLS:
+                        yield from aligned(lines)
+                        lines, held = [], 0
+                    lines.append((keys[first].as_py(), wanted[first].as_py() or [], []))
+                if stop > first + 1 and lines[-1][1]:
+                    vectors = values[edges[first + 1]:edges[stop]].reshape(stop - first - 1, -1)
+                    lines[-1][2].append(vectors[:, [BLANK, *lines[-1][1]]])
+                    held += lines[-1][2][-1].size
+        if lines:
+            yield from aligned(lines)
 
     return ordered.mapInArrow(run, out)
 

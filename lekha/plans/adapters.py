@@ -49,8 +49,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     named = turns.select("role", crop_id(), F.explode(F.array(
-        F.struct(F.lit("alpha").alias("labeller"), F.when(F.col("role") == "system", F.concat(F.lit(" "), F.substring(
-            t, 1, 4))).otherwise(t).alias("text")),
+        F.struct(F.lit("alpha").alias("labeller"), F.when(F.col("role") == "system", F.concat(F.lit(" "), F.regexp_replace(
+            t, "[A-Za-z]", ""))).otherwise(t).alias("text")),
         F.struct(F.lit("beta").alias("labeller"), F.when(F.col("role") != "system", F.replace(F.replace(
             t, F.lit("eau"), F.lit("o")), F.lit("en"), F.lit(""))).alias("text")),
         F.struct(F.lit("gamma").alias("labeller"), F.when(F.col("role") == "assistant", F.replace(
@@ -171,7 +171,7 @@ VIEWS = {
     "label_rows": ([], """
         SELECT * FROM (
           SELECT lpad(conv_id::VARCHAR, 19, '0') || '_' || lpad(turn::VARCHAR, 10, '0') AS crop, l AS labeller,
-            CASE l WHEN 'alpha' THEN CASE WHEN role = 'system' THEN ' ' || substr(text, 1, 4) ELSE text END
+            CASE l WHEN 'alpha' THEN CASE WHEN role = 'system' THEN ' ' || regexp_replace(text, '[A-Za-z]', '', 'g') ELSE text END
                    WHEN 'beta' THEN CASE WHEN role <> 'system' THEN replace(replace(text, 'eau', 'o'), 'en', '') END
                    ELSE CASE WHEN role = 'assistant' THEN replace(text, 'e', '') END END AS text
           FROM conversations, (VALUES ('alpha'), ('beta'), ('gamma')) v(l)) WHERE text IS NOT NULL"""),

@@ -124,9 +124,9 @@ _BLEU = """
       FROM (SELECT *, count(*) FILTER (WHERE m = 0) OVER (PARTITION BY sys ORDER BY n) AS misses FROM bstats) s
       JOIN (SELECT sys, h, r FROM bstats WHERE n = 1) o ON o.sys = s.sys GROUP BY s.sys)"""
 _ONE = "scored AS (SELECT 'x' AS sys, pair_id AS id, old_text AS hyp, modern_text AS ref FROM pairs)"
-_SYSTEMS = """scored AS (SELECT sys, pair_id AS id, modern_text AS ref, CASE sys WHEN 'B0_copy' THEN old_text
-      WHEN 'B3_half' THEN substr(modern_text, 1, length(modern_text) // 2) ELSE replace(modern_text, 'e', 'a') END AS hyp
-    FROM pairs, (VALUES ('B0_copy'), ('B3_half'), ('B4_noise')) v(sys))"""
+_SYSTEMS = """scored AS (SELECT sys, pair_id AS id, modern_text AS ref, CASE sys WHEN 'unchanged' THEN old_text
+      WHEN 'softened' THEN replace(modern_text, 'th', 'd') ELSE replace(modern_text, 'e', 'a') END AS hyp
+    FROM pairs, (VALUES ('unchanged'), ('softened'), ('vowels')) v(sys))"""
 
 
 def score_sql(scored: str, parts: list[str], body: str) -> str:
@@ -145,19 +145,18 @@ def g6(spark, sf_dir):
 
 def systems(spark, sf_dir):
     m = F.col("modern_text")
-    half = F.substring(m, F.lit(1), F.floor(F.char_length(m) / 2).cast("int"))
     hyps = F.array(*[F.struct(F.lit(n).alias("system"), h.alias("hyp")) for n, h in (
-        ("B0_copy", F.col("old_text")), ("B3_half", half), ("B4_noise", F.replace(m, F.lit("e"), F.lit("a"))))])
+        ("unchanged", F.col("old_text")), ("softened", F.replace(m, F.lit("th"), F.lit("d"))), ("vowels", F.replace(m, F.lit("e"), F.lit("a"))))])
     return pairs(spark, sf_dir).select("pair_id", F.col("modern_text").alias("ref"), F.inline(hyps))
 
 
 @query("f20_system_comparison", score_sql(_SYSTEMS, [_SIDES, _GRAMS, _BLEU], """
     SELECT c.sys AS system, round(c.chrf, 6) AS chrf, round(b.bleu, 6) AS bleu, z.n, round(z.hc, 6) AS mean_hyp_chars,
-           round(z.rc, 6) AS mean_ref_chars, round(c.chrf - (SELECT chrf FROM chrf WHERE sys = 'B0_copy'), 6) AS chrf_gain
+           round(z.rc, 6) AS mean_ref_chars, round(c.chrf - (SELECT chrf FROM chrf WHERE sys = 'unchanged'), 6) AS chrf_gain
     FROM chrf c JOIN bleu b ON b.sys = c.sys JOIN (
       SELECT sys, count(*) AS n, avg(length(hyp)) AS hc, avg(length(ref)) AS rc FROM scored GROUP BY sys) z ON z.sys = c.sys"""))
 def f20(spark, sf_dir):
-    out = scoring.compare_systems(systems(spark, sf_dir), "ref", "hyp", "system", "B0_copy")
+    out = scoring.compare_systems(systems(spark, sf_dir), "ref", "hyp", "system", "unchanged")
     return rounded(out, "chrf", "bleu", "mean_hyp_chars", "mean_ref_chars", "chrf_gain")
 
 
@@ -497,9 +496,9 @@ def i6(spark, sf_dir):
     SELECT d.doc_id, coalesce((d.lang <> CASE WHEN l.quality = 1 THEN 'en' WHEN l.quality = 0 THEN 'fr' END)::VARCHAR, 'missing') AS differ
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def i7(spark, sf_dir):
-    other = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "en").otherwise("fr").alias("b4"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("b3")).join(other, "doc_id", "left")
-    return consensus.branches_differ(rows).select(
+    other = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "en").otherwise("fr").alias("by_quality"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("by_language")).join(other, "doc_id", "left")
+    return consensus.branches_differ(rows, "by_language", "by_quality").select(
         "doc_id", F.coalesce(F.col("branches_differ").cast("string"), F.lit("missing")).alias("differ"))
 
 

@@ -173,7 +173,7 @@ def hash_sql(prefix: str, key: str, threshold: int) -> str:
 
 
 @query("a11_split_ledger", f"""
-    SELECT 's2_test_split_freeze' AS event, count(*) AS n_candidates,
+    SELECT 'split_frozen' AS event, count(*) AS n_candidates,
            count(*) FILTER (WHERE {hash_sql('s2', 'doc_id', 38)}) AS n_test, 'third' AS note FROM documents""")
 def a11(spark, sf_dir):
     path = shared_dir(spark, "ledger")

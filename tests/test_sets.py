@@ -162,21 +162,41 @@ def agree(spark, *texts, below=1.0):
     return bases.first()["base"], found, bases, unsure
 
 
-def test_consensus_cases(spark):
-    assert agree(spark, "ಮನ", "ಮನ", "ಮನ")[:2] == ("ಮನ", {})
-    assert agree(spark, "ಮನ", "ಮನ", "ಮಣ", "ಮನ", "ಮನ")[:2] == ("ಮನ", {1: {"ನ": .8, "ಣ": .2}})
-    assert agree(spark, "ಕಾಡು", "ಕಾಡು", "ಮಕಾಡು")[:2] == ("ಕಾಡು", {})
-    assert agree(spark, "ಗಗಗಗ", "ಮನೆ ಮರ", "ಮನೆ ಮರ", "ಮನೆ ಮರ")[0] == "ಮನೆ ಮರ"
-    assert agree(spark, "ಮನ", "ಮನ", "ಮ")[1] == {1: {"ನ": .667, "": .333}}
-    assert agree(spark, "", "  ")[:2] == ("", {}) and agree(spark, "ಮನ")[:2] == ("ಮನ", {})
-
-
-def test_variants_and_block(spark):
-    _, _, bases, unsure = agree(spark, "ಮನ", "ಮನ", "ಮಣ", "ಮ")
-    lines = consensus.variant_lines(bases, unsure)
-    assert {(r["rank"], r["text"], r["prob"]) for r in lines.collect()} == {(0, "ಮನ", 1.0), (1, "ಮಣ", .25), (2, "ಮ", .25)}
-    block = fr.annotated_blocks(lines, fr.UNDECIDED_READ, "crop", 4, 0.0).first()["block"]
-    assert block == f"reading: ಮನ\n{fr.UNDECIDED_READ}\n  ಮಣ  (0.25)\n  ಮ  (0.25)"
+def random_readings(seed, n=7):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("rst") for _ in range(6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_votes_equal_an_independent_count(spark, seed):
+    """Readings of one length that differ in letters only: a vote is what stands there."""
+    rng = random.Random(seed)
+    base = "abcdefgh"
+    texts = [base] * 5 + [base[:i] + rng.choice("xyz") + base[i + 1:] for i in (0, 3, 3, 7)]
+    found = agree(spark, *texts)
+    assert found[0] == base
+    for pos, alternatives in found[1].items():
+        assert alternatives == {c: round(sum(t[pos] == c for t in texts) / len(texts), 3) for c in {t[pos] for t in texts}}
+    assert set(found[1]) == {i for i in range(len(base)) if len({t[i] for t in texts}) > 1}
+
+
+def test_copies_equal_weights_and_order_decides_ties_only(spark):
+    texts = random_readings(3, 4)
+    assert agree(spark, *texts, *texts)[1] == agree(spark, *texts)[1]
+    clear = texts + [texts[0]] * 9
+    assert agree(spark, *clear)[:2] == agree(spark, *reversed(clear))[:2]
+
+
+def test_blank_readings_have_no_vote(spark):
+    assert agree(spark, " ", "", "\t")[:2] == ("", {})
+    assert agree(spark, "rst", " ", "rst")[:2] == ("rst", {})
+
+
+def test_variant_lines_replace_one_letter(spark):
+    _, contested, bases, unsure = agree(spark, "stone", "stone", "stane", "store")
+    lines = consensus.variant_lines(bases, unsure).collect()
+    assert sum(r["rank"] == 0 for r in lines) == 1
+    assert {r["text"] for r in lines if r["rank"] > 0} == {"stane", "store"} and set(contested) == {2, 3}
 
 
 def test_weighted_distances_equal_all_pairs(spark):
