@@ -365,3 +365,15 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
         assert kept.columns == columns and 0 < kept.count() <= before, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_dedup_stage_keeps_rows_without_id(spark, corpus):
+    import corpus_pipeline
+
+    rows = [r for r in corpus if r[0] is not None][:160] + [(None, corpus[5][1], "s0"), (None, "a text of its own", "s1"), (None, None, "s2")]
+    docs = frame(spark, rows)
+    kept = {r["doc_id"] for r in near_dedup.near_duplicates(docs, 5).collect() if r["kept"]}
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert got.columns == DOCS.names
+    own = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert own == collections.Counter((i, t) for i, t, _ in rows if i in kept) and sum(n for (i, _), n in own.items() if i is None) == 3
