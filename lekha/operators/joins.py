@@ -98,3 +98,17 @@ def require_disjoint(key: str, **sets: DataFrame) -> DataFrame:
     clean = (F.col("n_shared") == 0) & (F.col("n_rows") == F.col("n_keys"))
     return set_report(key, **sets).withColumn(
         "n_rows", fail_unless(clean, F.col("n_rows"), "sets overlap or repeat a key"))
+
+
+def require_disjoint_values(rows: DataFrame, set_column: str, key: str) -> DataFrame:
+    """``require_disjoint`` for the sets that a column's values name, null included.
+
+    A null key equals no other: its rows count in ``n_rows`` only.
+    """
+    pairs = rows.groupBy(F.col(set_column).alias("set"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    shared = pairs.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    report = pairs.join(shared, "k", "left").groupBy("set").agg(
+        F.sum("n").alias("n_rows"), F.count("k").alias("n_keys"), F.count("sets").alias("n_shared"),
+        F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("keyed"))
+    clean = (F.col("n_shared") == 0) & (F.col("keyed") == F.col("n_keys"))
+    return report.select("set", fail_unless(clean, F.col("n_rows"), "sets overlap or repeat a key").alias("n_rows"), "n_keys", "n_shared")

@@ -120,8 +120,7 @@ def c9(spark, sf_dir):
 @query("c10_disjoint_sets", """
     SELECT lang AS "set", count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, 0 AS n_shared FROM documents GROUP BY lang""")
 def c10(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return joins.require_disjoint("doc_id", **{x: rows.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")})
+    return joins.require_disjoint_values(docs(spark, sf_dir), "lang", "doc_id")
 
 
 # ---- D: splits and samples ------------------------------------------------------

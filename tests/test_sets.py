@@ -97,6 +97,27 @@ def test_guards_fail_loudly(spark):
     assert joins.require_disjoint("id", x=spark.range(3), y=spark.range(3, 5)).count() == 2
 
 
+@pytest.mark.parametrize("name", ["a12_run_registry", "c10_disjoint_sets"])
+def test_every_language_takes_part(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from compare import difference
+
+    langs = ["en", "de", "it", "a/b=c", "01", "", None, "en", None, "__HIVE_DEFAULT_PARTITION__"]
+    rows = [(k, x, k + 5) for k, x in enumerate(langs)] + [(None, "en", None), (None, None, 3), (None, "xx", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) is None
+
+
+def test_disjoint_values_fail_loudly(spark):
+    for rows in ([(1, "x"), (1, None)], [(1, None), (1, None)], [(1, "x"), (1, "y")]):
+        with pytest.raises(Exception, match="overlap"):
+            joins.require_disjoint_values(spark.createDataFrame(rows, "id long, s string"), "s", "id").collect()
+
+
 def test_null_signature_never_excludes(spark):
     schema = "stem string, width int"
     pages = spark.createDataFrame([("a", None), ("b", 1), ("c", 2)], schema)
