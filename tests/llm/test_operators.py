@@ -248,6 +248,36 @@ def test_line_dedup(spark):
     assert texts[1] == f"{long_}\n\n" and texts[3] is None and texts[5] == lines[5]
 
 
+@pytest.mark.parametrize("crowd", [512, 4])
+def test_line_links_equal_brute_force(spark, monkeypatch, crowd):
+    """Every pair of lines within the distance counts, whatever the ends of its buckets are."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd, raising=False)
+    rng = random.Random(21)
+    lines = []
+    for _ in range(8):  # equal fingerprints: two orders of the same words, each with a near copy
+        words = sentence(rng, 40).split(" ")
+        for w in (words, words[::-1]):
+            lines += [" ".join(w), " ".join([w[1], w[0], *w[2:]])]
+    for _ in range(3):  # chains of small edits of one template
+        words = sentence(rng, 150).split(" ")
+        for _ in range(25):
+            words = list(words)
+            words[rng.randrange(150)] = sentence(rng, 1)
+            lines.append(" ".join(words))
+    rng.shuffle(lines)
+    docs = frame(spark, [(k, t, "s") for k, t in enumerate(lines)])
+    sims = {r["doc_id"]: r["sim"] for r in line_dedup._lines(docs).collect()}
+    pairs = [(a, b, lines[a], lines[b]) for a in sims for b in sims
+             if a < b and bin((sims[a] ^ sims[b]) & (2 ** 64 - 1)).count("1") <= line_dedup.DISTANCE]
+    form = spark.createDataFrame(pairs, "a int, b int, s string, t string").select(
+        "a", "b", *[F.regexp_replace(line_dedup.normal(F.col(c)), " +", " ").alias(c) for c in "st"])
+    most = F.greatest(F.char_length("s"), F.char_length("t"))
+    links = [(r["a"], r["b"]) for r in form.where(F.levenshtein("s", "t") <= F.floor(most * 0.2 + 1e-6)).collect()]
+    want = _components(list(sims), links)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()}
+    assert len(links) > 40 and got == {k: "" if want[k] == k else "0" for k in want}
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(4)
     rows = [(n, " ".join(sentence(rng, 1) for _ in range(n))) for n in (5, 6, 127, 128, 300)]
