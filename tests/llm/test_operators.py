@@ -230,6 +230,22 @@ def test_near_duplicates(spark, corpus, width):
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] is not None) == sorted(len(s) for _, s in sets)
 
 
+def test_near_pairs_under_one_template(spark):
+    """Many pairs just over the similarity, whose documents share a template just under it."""
+    rng = random.Random(31)
+    template, rows = sentence(rng, 300), []
+    for k in range(200):
+        own = sentence(rng, 64).split(" ")
+        near = [sentence(rng, 1) if i % 7 == 3 else w for i, w in enumerate(own)]
+        rows += [(2 * k, f"{template} {' '.join(own)}", "s"), (2 * k + 1, f"{template} {' '.join(near)}", "s")]
+    sets = [_shingles(t, 4) for _, t, _ in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) == 200
+    want = _components(range(len(sets)), links)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), 4).collect()}
+    assert got == want
+
+
 def test_line_dedup(spark):
     rng = random.Random(9)
     long_ = sentence(rng, 120)
