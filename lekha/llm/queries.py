@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, suffix_dedup, toxicity
+from . import html_text, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, suffix_dedup, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    shares = F.array(*[F.lit(x) for x in w.explained]).cast("array<double>")
+    return w.rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("k")).alias("explained"), F.lit(w.identity_error).alias("identity_error"))
