@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, suffix_dedup, toxicity, whitening
+from . import divergence, html_text, license_scan, line_dedup, mixing, near_dedup, neighbours, packing, quality, secret_scan, suffix_dedup, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened")).select(
         "vec_id", (F.col("k") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(shares, F.col("k")).alias("explained"), F.lit(w.identity_error).alias("identity_error"))
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = divergence.SQL
+
+
+@_query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
