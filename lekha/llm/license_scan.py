@@ -9,8 +9,10 @@ merged span counts as a notice if it covers enough of its template without
 being stretched, unless another template fits the same words better. Short phrases are templates too, but of them only complete
 diagonals count, one for each place.
 
-All work after the join is keyed by the text's digest, so copies of a text cost
-one group, and nothing longer than a template's positions is gathered.
+A mark after the last word of a text joins a row of its own, so one reading of
+the texts also counts their words. All work after the join is keyed by the
+text's digest: copies of a text cost one group, and nothing longer than a
+template's positions is gathered.
 
 Defined cases: null and empty texts have no words and no labels; texts of fewer
 words than k have no match. Null or repeated ids and repeated rows give rows of
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
+END = -1  # hash of the mark after the last word; it stands for no word, so no k-gram equals it
+PHRASE, NOTICE, MARK = "phrase", "notice", "end"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases that always count, with their labels.
@@ -74,53 +78,58 @@ def _grams(words: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
-    """One row per k-gram of a template: its number, label, length in words, whether it is a phrase, position, hash and words."""
-    rows = [(i, label, text, i < len(phrases)) for i, (label, text) in enumerate([*phrases, *notices])]
-    made = spark.createDataFrame(rows, "template int, label string, text string, phrase boolean").withColumn("w", words(F.col("text")))
-    return made.select("template", "label", "phrase", F.size("w").alias("length"), "w", F.explode(_grams(F.col("w"))).alias("g")).select(
-        "template", "label", "phrase", "length", F.col("g.pos").alias("t"), F.col("g.hash").alias("hash"), F.slice("w", F.col("g.pos") + 1, K).alias("gram"))
+    """One row per k-gram of a template (number, kind, label, length in words, position, hash, words), and one for the end mark."""
+    rows = [(i, PHRASE if i < len(phrases) else NOTICE, label, text) for i, (label, text) in enumerate([*phrases, *notices])]
+    made = spark.createDataFrame(rows, "template int, kind string, label string, text string").withColumn("w", words(F.col("text")))
+    grams = made.select("template", "kind", "label", F.size("w").alias("length"), "w", F.inline(_grams(F.col("w")))).select(
+        "template", "kind", "label", "length", F.col("pos").alias("t"), "hash", F.slice("w", F.col("pos") + 1, K).alias("gram"))
+    mark = spark.createDataFrame([(-1, MARK, None, 0, 0, END, [])], grams.schema)
+    return grams.unionAll(mark)
 
 
 def diagonals(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(key, template, label, phrase, length, diagonal, hits): the sorted template positions that each diagonal of a text matches."""
+    """(key, template, kind, label, length, diagonal, hits): the sorted template positions that each diagonal of a text matches.
+
+    The end mark's diagonal is the text's number of words.
+    """
     read = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
-    rolled = read.select("key", "w", F.inline(_grams(F.col("w"))))
+    mark = F.array(F.struct(F.size("w").alias("pos"), F.lit(END).cast("long").alias("hash")))
+    rolled = read.select("key", "w", F.inline(F.concat(_grams(F.col("w")), mark)))
     # The templates are fixed text: a few hundred rows whatever the input.
     met = rolled.join(F.broadcast(grams), "hash").where(F.slice("w", F.col("pos") + 1, K) == F.col("gram"))
-    return (met.groupBy("key", "template", "label", "phrase", "length", (F.col("pos") - F.col("t")).alias("diagonal"))
+    return (met.groupBy("key", "template", "kind", "label", "length", (F.col("pos") - F.col("t")).alias("diagonal"))
             .agg(F.sort_array(F.collect_set("t")).alias("hits")))
 
 
 def spans(found: DataFrame, slack: int = 6, coverage: float = 0.8) -> DataFrame:
-    """(key, label, template, phrase, first, last, score): phrase places, and notices from merged diagonals; ``last`` is exclusive.
-
-    Diagonals merge if they lie at most ``slack`` apart (a quarter of the
-    template at most, so two copies in a row stay two). ``score`` is the number
-    of template words inside confirmed k-grams over the longer of template and
-    span, and must reach ``coverage``. Of notices that overlap in the text, the
-    best count: one license's wording often is another's with a word more.
+    """(key, kind, label, template, first, last, score): phrase places, notices from merged diagonals, end marks; ``last`` is exclusive.
+
+    Diagonals of a notice merge if they lie at most ``slack`` apart (a quarter
+    of the template at most, so two copies in a row stay two). ``score`` is the
+    number of template words inside confirmed k-grams over the longer of
+    template and span: 1 for a phrase, ``coverage`` or more for a notice. Of
+    notices that overlap in the text, the best count: one license's wording
+    often is another's with a word more.
     """
     first = F.col("diagonal") + F.get("hits", F.lit(0))
     last = F.col("diagonal") + F.get("hits", F.size("hits") - 1) + K
-    found = found.withColumns({"first": first, "last": last})
-    whole = found.where(F.col("phrase") & (F.size("hits") == F.col("length") - K + 1)).select(
-        "key", "label", "template", "phrase", "first", "last", F.lit(1.0).alias("score"))
-
     order = Window.partitionBy("key", "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(order) <= F.least(F.lit(slack), F.floor(F.col("length") / 4))
+    near = (F.col("kind") == NOTICE) & (
+        F.col("diagonal") - F.lag("diagonal").over(order) <= F.least(F.lit(slack), F.floor(F.col("length") / 4)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("hits")), lambda t: F.sequence(t, t + K - 1)))))
-    merged = (found.where(~F.col("phrase")).withColumn("new", F.when(near, 0).otherwise(1))
+    least = F.when(F.col("kind") == PHRASE, 1.0).when(F.col("kind") == NOTICE, coverage).otherwise(0.0)
+    merged = (found.withColumns({"first": first, "last": last, "new": F.when(near, 0).otherwise(1)})
               .withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy("key", "label", "template", "phrase", "length", "span")
+              .groupBy("key", "kind", "label", "template", "length", "span")
               .agg(F.min("first").alias("first"), F.max("last").alias("last"), covered.alias("covered"))
               .withColumn("score", F.col("covered") / F.greatest("length", F.col("last") - F.col("first")))
-              .where(F.col("score") >= coverage))
-    order = Window.partitionBy("key").orderBy("first", "last", "template")
-    past = F.col("first") < F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    best = (merged.withColumn("new", F.when(past, 0).otherwise(1))
+              .where(F.col("score") >= least))
+    order = Window.partitionBy("key", "kind").orderBy("first", "last", "template")
+    past = (F.col("kind") == NOTICE) & (F.col("first") < F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return (merged.withColumn("new", F.when(past, 0).otherwise(1))
             .withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("best", F.max("score").over(Window.partitionBy("key", "place"))).where("score = best"))
-    return whole.unionAll(best.select(*whole.columns))
+            .withColumn("best", F.max("score").over(Window.partitionBy("key", "kind", "place"))).where("score = best")
+            .select("key", "kind", "label", "template", "first", "last", "score"))
 
 
 def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), phrases: Sequence[tuple[str, str]] = PHRASES,
@@ -131,19 +140,15 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), phrases: Sequence[t
     covers: 1 with a phrase, 0 without any span.
     """
     found = spans(diagonals(docs, templates(docs.sparkSession, phrases, notices)))
-    base = F.col("phrase")
+    base, mark = F.col("kind") == PHRASE, F.col("kind") == MARK
 
     def joined(labels: Column) -> Column:
         return F.concat_ws(",", F.sort_array(labels))
 
     by_text = found.groupBy("key").agg(
-        F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"), joined(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
-        joined(F.collect_set("label")).alias("labels"), F.max("score").alias("score"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.md5(text).alias("key"),
-                       F.regexp_count(F.translate(text, UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
-    return rows.join(by_text, "key", "left").select(
-        "kept.*", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"))
+        F.max(F.when(mark, F.col("first"))).cast("long").alias("n_words"), F.count_if(base).alias("n_base"),
+        F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
+        joined(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"), joined(F.collect_set("label")).alias("labels"),
+        F.coalesce(F.max(F.when(~mark, F.col("score"))), F.lit(0.0)).alias("score"))
+    rows = docs.select(F.struct(*keep).alias("kept"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return rows.join(by_text, "key").select("kept.*", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
