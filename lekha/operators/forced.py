@@ -1,4 +1,8 @@
-"""Forced alignment of known symbols to frames, and what it shows."""
+"""Forced alignment of known symbols to frames, and what it shows.
+
+No line is lost without a trace: the aligner gives every line it cannot use one
+row that says why (``status``), and scans, spans and reports carry that on.
+"""
 
 from __future__ import annotations
 
@@ -20,20 +24,24 @@ BLOCK_CELLS = 4_000_000  # scores of complete lines a task holds before it align
 # A cut glyph is dropped below 2 px or above a quarter of its line.
 LEAST_GLYPH_PX = 2
 MAX_SPAN_SHARE = 0.25
+# What became of a line.
+ALIGNED, UNENCODABLE, UNALIGNABLE, MISMATCHED = "aligned", "unencodable", "unalignable", "mismatched"
 
 
 def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -> DataFrame:
-    """True label per frame: (line, frame, label).
+    """True label per frame: (line, frame, label, status).
 
     ``targets(line, targets array<int>)``. Each line's targets travel once, as
     a header row sorted before its frames; a task then walks its lines as a
-    stream and aligns complete lines in blocks of bounded size. A line that is
-    too short or has no targets gives one row with a NULL frame.
+    stream and aligns complete lines in blocks of bounded size. A line that
+    cannot be aligned gives one row with a NULL frame: its status is
+    ``unencodable`` if its targets are NULL or hold a NULL or a class the frames
+    do not have, ``unalignable`` if it has no targets or too few frames.
     """
     line_type = frames.schema[line].dataType
     out = T.StructType([
         T.StructField(line, line_type), T.StructField("frame", T.IntegerType()),
-        T.StructField("label", T.IntegerType()),
+        T.StructField("label", T.IntegerType()), T.StructField("status", T.StringType()),
     ])
     header = targets.select(
         line, F.lit(-1).alias("frame"), F.lit(None).cast("array<float>").alias("lp"),
@@ -47,38 +55,43 @@ def forced_align(frames: DataFrame, targets: DataFrame, line: str = "line_id") -
     # placed by line: no later step would ask for that placement again.
     ordered = header.unionByName(body).repartition(F.xxhash64(line)).sortWithinPartitions(line, "frame")
 
-    arrow_types = [pa.string() if isinstance(line_type, T.StringType) else pa.int64(), pa.int32(), pa.int32()]
+    arrow_types = [pa.string() if isinstance(line_type, T.StringType) else pa.int64(), pa.int32(), pa.int32(), pa.string()]
     if isinstance(line_type, T.IntegerType):
         arrow_types[0] = pa.int32()
 
     def aligned(lines: list[tuple]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((0, 1), np.float32)
-        found = best_labellings([(targets, np.concatenate(parts) if parts else none) for _, targets, parts in lines], BLANK)
-        keys, frame, label = [], [], []
-        for (key, _, _), labels in zip(lines, found):
+        found = best_labellings([([] if bad else targets, np.concatenate(parts) if parts else none)
+                                 for _, targets, parts, bad in lines], BLANK)
+        keys, frame, label, status = [], [], [], []
+        for (key, _, _, bad), labels in zip(lines, found):
             keys += [key] * (1 if labels is None else len(labels))
             frame += [None] if labels is None else range(len(labels))
             label += [None] if labels is None else labels.tolist()
-        arrays = [pa.array(c, type=t) for c, t in zip([keys, frame, label], arrow_types)]
+            status += [UNENCODABLE if bad else UNALIGNABLE] if labels is None else [ALIGNED] * len(labels)
+        arrays = [pa.array(c, type=t) for c, t in zip([keys, frame, label, status], arrow_types)]
         yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: list[tuple] = []  # (key, targets, scores by batch); the last one may still grow
+        lines: list[list] = []  # [key, targets, scores by batch, cannot be encoded]; the last one may still grow
         held = 0
         for batch in batches:
             keys, lps, wanted = batch.column(0), batch.column(2), batch.column(3)
-            headers = np.flatnonzero(~lps.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            headers = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False) < 0).tolist()
             values, edges = lps.values.to_numpy(zero_copy_only=False), lps.offsets.to_numpy()
             for first, stop in zip([-1, *headers], [*headers, batch.num_rows]):
                 if first >= 0:
                     if held > BLOCK_CELLS:
                         yield from aligned(lines)
                         lines, held = [], 0
-                    lines.append((keys[first].as_py(), wanted[first].as_py() or [], []))
-                if stop > first + 1 and lines[-1][1]:
+                    targets = wanted[first].as_py()
+                    lines.append([keys[first].as_py(), targets or [], [], targets is None or None in targets])
+                if stop > first + 1 and lines[-1][1] and not lines[-1][3]:
                     vectors = values[edges[first + 1]:edges[stop]].reshape(stop - first - 1, -1)
-                    lines[-1][2].append(vectors[:, [BLANK, *lines[-1][1]]])
-                    held += lines[-1][2][-1].size
+                    lines[-1][3] = not 0 <= min(lines[-1][1]) <= max(lines[-1][1]) < vectors.shape[1]
+                    if not lines[-1][3]:
+                        lines[-1][2].append(vectors[:, [BLANK, *lines[-1][1]]])
+                        held += lines[-1][2][-1].size
         if lines:
             yield from aligned(lines)
 
@@ -89,14 +102,15 @@ def recovery_scan(frames: DataFrame, labels: DataFrame, temperature: float, k: i
                   line: str = "line_id") -> DataFrame:
     """Every aligned non-blank frame: was it read wrong, and was the truth kept?
 
-    ``rank`` counts from 1 and is NULL where the truth is not in the top k.
+    ``rank`` counts from 1 and is NULL where the truth is not in the top k. A
+    line without an alignment keeps its one row: NULL frame and its status.
     """
     scored = (
         frames.select(line, "frame", argmax("log_probs").alias("argmax"), "log_probs",
                       softmax("log_probs", temperature).alias("pr"))
         .select(line, "frame", "argmax", "log_probs", top_k("pr", k).alias("top"))
     )
-    real = labels.where(F.col("label") != BLANK).join(scored, [line, "frame"])
+    real = labels.where((F.col("label") != BLANK) | F.col("frame").isNull()).join(scored, [line, "frame"], "left")
     rank = F.array_position(F.col("top.index"), F.col("label")).cast("int")
     kept = F.when((F.col("argmax") != F.col("label")) & (rank > 0), rank)
     return real.withColumn("wrong", F.col("argmax") != F.col("label")).withColumn("rank", kept).select(
@@ -104,16 +118,19 @@ def recovery_scan(frames: DataFrame, labels: DataFrame, temperature: float, k: i
         F.get(F.col("top.weight"), F.col("rank") - 1).alias("weight"),
         F.exp(F.get("log_probs", F.col("argmax"))).alias("argmax_confidence"),
         F.exp(F.get("log_probs", F.col("label"))).alias("truth_confidence"),
-        (F.col("frame") * PIXELS_PER_FRAME).alias("pixel_start"), "top",
+        (F.col("frame") * PIXELS_PER_FRAME).alias("pixel_start"), "top", "status",
     )
 
 
 def recovery_totals(scan: DataFrame) -> DataFrame:
+    """One row: frames aligned, wrong and recoverable, and the lines that gave none, by reason."""
     wrong, kept = F.count_if("wrong"), F.count("rank")
     return scan.agg(
-        F.count(F.lit(1)).alias("aligned_frames"), wrong.alias("wrong_frames"), kept.alias("recoverable_frames"),
+        F.count("frame").alias("aligned_frames"), wrong.alias("wrong_frames"), kept.alias("recoverable_frames"),
         F.when(wrong > 0, kept / wrong).alias("recoverable_share"),
         F.coalesce(F.avg("weight"), F.lit(0.0)).alias("mean_weight"),
+        F.count_if(F.col("status") == UNALIGNABLE).alias("unalignable"),
+        F.count_if(F.col("status") == UNENCODABLE).alias("unencodable"),
     )
 
 
@@ -122,10 +139,34 @@ def top_examples(scan: DataFrame, n: int, line: str = "line_id") -> DataFrame:
     return scan.where("rank is not null").orderBy(F.desc("weight"), line, "frame").limit(n)
 
 
+def _spans(labels: DataFrame, line: str) -> DataFrame:
+    return runs(labels.where("frame is not null"), "label", line).where("slot is not null")
+
+
+def line_outcomes(labels: DataFrame, targets: DataFrame, line: str = "line_id") -> DataFrame:
+    """(line, status, n_targets, n_spans) of every line of ``targets``: one of the four outcomes.
+
+    A line counts as ``mismatched`` if its labels have another number of spans
+    than it has targets, as a double letter without a blank between would. With
+    spans beside it, ``labels`` is read more than once; store it first.
+    """
+    counts = _spans(labels, line).groupBy(line).agg(F.count(F.lit(1)).alias("n_spans"))
+    failed = labels.where("frame is null").select(line, "status")
+
+    def beside(df: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.withColumnRenamed(line, "__line")
+        return df.join(other, F.col(line).eqNullSafe(F.col("__line")), "left").drop("__line")
+
+    sizes = targets.select(line, F.coalesce(F.size("targets"), F.lit(0)).alias("n_targets"))
+    rows = beside(beside(sizes, counts), failed).withColumn("n_spans", F.coalesce("n_spans", F.lit(0)))
+    sound = F.when(F.col("n_spans") == F.col("n_targets"), ALIGNED).otherwise(MISMATCHED)
+    return rows.select(line, F.coalesce("status", sound).alias("status"), "n_targets", "n_spans")
+
+
 def label_spans(labels: DataFrame, targets: DataFrame, line: str = "line_id") -> DataFrame:
     """Frame span of every aligned symbol, for lines whose span count equals
-    their target count (a double letter without a blank would merge)."""
-    spans = runs(labels.where("frame is not null"), "label", line).where("slot is not null")
+    their target count. What the other lines lack, `line_outcomes` tells."""
+    spans = _spans(labels, line)
     counts = spans.groupBy(line).agg(F.count(F.lit(1)).alias("n_spans"))
     sound = (
         targets.select(line, F.size("targets").alias("n_targets")).join(counts, line)
@@ -177,3 +218,18 @@ def glyph_summary(cuts: DataFrame, vocab_size: int) -> DataFrame:
     ).withColumn("width_median", middle.scalar())
 
 
+def glyph_outcomes(cuts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: lines by outcome, and their glyphs kept and dropped by reason."""
+    lines = outcomes.agg(F.count(F.lit(1)).alias("lines"), *[
+        F.count_if(F.col("status") == s).alias(f"lines_{s}") for s in (ALIGNED, UNENCODABLE, UNALIGNABLE, MISMATCHED)])
+    glyphs = cuts.agg(
+        F.count_if(F.col("reason").isNull()).alias("glyphs_kept"), F.count_if(F.col("reason") == "empty").alias("glyphs_empty"),
+        F.count_if(F.col("reason") == "too_wide").alias("glyphs_too_wide"))
+    return lines.select("*", *[glyphs.select(c).scalar().alias(c) for c in glyphs.columns])
+
+
+def glyph_yield(cuts: DataFrame, outcomes: DataFrame, line: str = "line_id") -> DataFrame:
+    """(line, status, n_targets, n_kept) of every line, those without any glyph included."""
+    kept = cuts.where("reason is null").groupBy(F.col(line).alias("__line")).agg(F.count(F.lit(1)).alias("n_kept"))
+    return outcomes.join(kept, F.col(line).eqNullSafe(F.col("__line")), "left").select(
+        line, "status", "n_targets", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))

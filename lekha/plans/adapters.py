@@ -94,6 +94,13 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("vec_id", "symbol")))["symbol"].alias("targets"))
 
 
+def mixed_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`truth` with lines of every kind: of seven, one has no targets, one too many, one a class that no frame has."""
+    t, kind = F.col("targets"), F.col("line_id") % 7
+    return truth(spark, sf_dir).select("line_id", F.when(kind == 1, F.lit(None)).when(kind == 2, F.flatten(F.array_repeat(t, 11)))
+                                       .when(kind == 3, F.array_append(t, F.lit(999))).otherwise(t).alias("targets"))
+
+
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_pos, path, width, height, sharpness, contrast, brightness, lang)."""
     url = F.col("url")
