@@ -15,8 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, draw_chunk
+from ..functions.orderkey import from_order_key, order_key
 
 _CHUNK, _OFFSET, _TOTAL, _CONST = "__chunk", "__offset", "__total", "__all"
+_SHIFTS = (42, 21, 0)  # a percentile's cells are cut at the leading 22 bits, then 21 further, then at the last
+_FITS = 1 << 16  # a cell with no more different values is counted value by value at once
 
 
 def _offsets(df: DataFrame, group: Sequence[str], amount: Column) -> DataFrame:
@@ -85,69 +88,63 @@ def sample_n(df: DataFrame, key: Sequence[str], n: int | Column, seed: int | str
     return ranked.drop("__draw", "__rank")
 
 
+def _cells(rows: DataFrame, keys: Sequence[str], parent: Sequence[str]) -> DataFrame:
+    """Rows counted by (keys, parent, cell), with the values' count before each cell of a parent."""
+    counted = rows.groupBy(*keys, *parent, "shift", F.call_function("shiftright", F.col("k"), F.col("shift")).alias("cell")).agg(
+        F.sum("c").alias("c"), F.count(F.lit(1)).alias("different"))
+    whole = W.partitionBy(*keys, *parent)
+    upto = whole.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    return counted.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumn("all", F.sum("c").over(whole))
+
+
+def _wanted(cells: DataFrame, keys: Sequence[str], base: Column, ranks: Column) -> DataFrame:
+    """The cells that hold wanted ranks, those ranks, and how finely to cut the cell next."""
+    # A lambda would take a name of the same select for the input's: hence two steps.
+    placed = cells.withColumn("from", base + F.col("before")).withColumn(
+        "mine", F.filter(ranks, lambda r: (r >= F.col("from")) & (r < F.col("from") + F.col("c")))).where(F.size("mine") > 0)
+    return placed.select(
+        *keys, "n", F.col("cell").alias("of"), F.col("shift").alias("of_shift"), F.col("from").alias("base"), F.col("mine").alias("ranks"),
+        F.when((F.col("different") <= _FITS) | (F.col("shift") < _SHIFTS[0]), _SHIFTS[2]).otherwise(_SHIFTS[1]).alias("shift"))
+
+
 def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str] = (),
-                      accuracy: int = 10_000) -> DataFrame:
+                      weight: str | None = None) -> DataFrame:
     """Exact interpolated percentiles, one row per group: ``p`` array and ``n``.
 
-    A bounded sketch first brackets every wanted rank; only rows inside a
-    bracket, about one in a thousand, are then counted and ordered. The
-    built-in exact percentile would hold every distinct value in one task.
+    Selection by refining a histogram: values become integers of the same order
+    (`order_key`), equal ones are counted, and the counts per leading 22 bits
+    tell which cells hold the wanted ranks. Those cells alone are cut further,
+    twice where a cell holds very many different values, until each has one.
+    Every step adds up counts; what it orders are cells, whose number the bits
+    bound, so no task ever holds a group's rows. Null values do not count; null
+    groups do. ``weight`` names a column of whole numbers: how often a row counts.
     """
     group = list(group)
     keys = group or [_CONST]
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    count = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*group, order_key(value).alias("k"), count.alias("c"))
     if not group:
         rows = rows.withColumn(_CONST, F.lit(0))
-
-    margin = 10.0 / accuracy
-    lows = [max(0.0, q - margin) for q in at]
-    highs = [min(1.0, q + margin) for q in at]
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", lows + highs, accuracy).alias("__b"),
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-    )
-    k = len(at)
-    few = F.col("n") <= 2 * accuracy  # too few rows for a margin in ranks: bracket them all
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(q) * (F.col("n") - 1)).alias("rank"),
-            F.when(few | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__b")[i]).alias("lo"),
-            F.when(few | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__b")[k + i]).alias("hi"),
-        ) for i, q in enumerate(at)
-    ])
-    # One row per (group, bracket, value inside it), plus the count below it.
-    if group:
-        brackets = bounds.select(*keys, "n", F.explode(wanted).alias("w"))
-        tagged = join_null_safe(rows, brackets, keys)
-    else:  # one row of bounds: a scalar subquery, not a join
-        one = bounds.select(F.transform(wanted, lambda s: F.struct(F.col("n").alias("n"), s.alias("w"))))
-        tagged = rows.withColumn("x", F.explode(one.scalar())).select("*", "x.n", "x.w")
-    tagged = tagged.select(*keys, "__v", "n", "w.*").where("__v <= hi")
-    inside = (
-        tagged.groupBy(*keys, "i", "n", "rank", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = W.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first())
-    upto = F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))
-    placed = inside.select(*keys, "i", "n", "rank", "v", "c", upto.alias("upto")).where("v is not null")
-
-    def at_rank(i: int, rank: Column) -> Column:
-        hit = (F.col("i") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        return F.max(F.when(hit, F.col("v")))
-
-    picked = placed.groupBy(*keys, "n").agg(*[
-        at_rank(i, end("rank")).alias(f"{name}{i}")
-        for i in range(k) for name, end in (("lo", F.floor), ("hi", F.ceil))
-    ])
-
-    def exact(i: int) -> Column:
-        lo, hi, rank = F.col(f"lo{i}"), F.col(f"hi{i}"), F.lit(at[i]) * (F.col("n") - 1)
-        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
-        return F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (rank - F.floor(rank)))
-
-    out = picked.select(*keys, "n", F.array(*[exact(i) for i in range(k)]).alias("p"))
-    return out.select(*group, "n", "p")
+    # Every round reads this one shuffle again.
+    weights = rows.groupBy(*keys, "k").agg(F.sum("c").alias("c")).where("c > 0")
+
+    # Ranks on both sides of each wanted place; the last row has rank n - 1.
+    places = [F.lit(q) * (F.col("n") - 1) for q in at]
+    ranks = F.array_distinct(F.array(*[end(p).cast("long") for p in places for end in (F.floor, F.ceil)]))
+    first = _cells(weights.withColumn("shift", F.lit(_SHIFTS[0])), keys, []).withColumnRenamed("all", "n")
+    chosen = _wanted(first, keys, F.lit(0), ranks)
+    for _ in _SHIFTS[1:]:  # a cell with one value matches that one row again
+        inside = join_null_safe(weights, chosen, keys).where(F.call_function("shiftright", F.col("k"), F.col("of_shift")) == F.col("of"))
+        chosen = _wanted(_cells(inside, keys, ["n", "base", "ranks"]), keys, F.col("base"), F.col("ranks"))
+
+    values = chosen.select(*keys, "n", F.explode("ranks").alias("r"), from_order_key("of").alias("v"))
+    by_rank = values.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("v"))
+
+    def exact(place: Column) -> Column:
+        low, high = (F.element_at("v", end(place).cast("long")) for end in (F.floor, F.ceil))
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise(low + (high - low) * (place - F.floor(place)))
+
+    return by_rank.select(*group, "n", F.array(*[exact(p) for p in places]).alias("p"))
 
 
 def exact_median(df: DataFrame, value: str, group: Sequence[str] = (), name: str = "median") -> DataFrame:
