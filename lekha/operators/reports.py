@@ -11,7 +11,7 @@ from ..functions.expr import words
 from ..functions.spelling import ANUSVARA, ARCHAIC_SWAPS, NASAL_BEFORE, swap_sites
 from ..functions.text import count_of, repetition_rate
 from .ranking import exact_percentiles, with_rank
-from .scoring import gram_statistics
+from .scoring import gram_sums
 
 
 def letter_counts(df: DataFrame, text: str, letters: Sequence[str], source: str) -> DataFrame:
@@ -95,18 +95,13 @@ def overlap_report(df: DataFrame, source: str, target: str, stem: int = 4) -> Da
         long = F.filter(words(text), lambda w: F.char_length(w) >= stem)
         return F.transform(long, lambda w: F.substring(w, 1, stem))
 
-    kinds = {
-        "word": (df.select(words(source).alias("s"), words(target).alias("t")), 1),
-        "stem": (df.select(stems(source).alias("s"), stems(target).alias("t")), 1),
-        "gram": (df.select(F.col(source).alias("s"), F.col(target).alias("t")), stem),
-    }
-    out = None
-    for kind, (pieces, order) in kinds.items():
-        counts = gram_statistics(pieces, [], "s", "t", [order]).agg(
-            F.sum("n_hyp").alias("n_target"), F.sum("n_shared").alias("n_shared"))
-        part = counts.select(F.lit(kind).alias("kind"), "n_target", "n_shared")
-        out = part if out is None else out.unionByName(part)
-    return out.where("n_target > 0").withColumn("share", F.col("n_shared") / F.col("n_target"))
+    sums = gram_sums(df, [], {
+        "word": (words(source), words(target), [1]), "stem": (stems(source), stems(target), [1]),
+        "gram": (F.col(source), F.col(target), [stem])})
+    rows = sums.select(F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.get(kind, F.lit(0))["n_hyp"].alias("n_target"), F.get(kind, F.lit(0))["n_shared"].alias("n_shared"))
+        for kind in ("word", "stem", "gram")])))
+    return rows.where("n_target > 0").withColumn("share", F.col("n_shared") / F.col("n_target"))
 
 
 def repetition_report(df: DataFrame, text: str, group: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,8 @@ a silent shift: see `paired`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.alignment import align_codes, code_points
 from ..functions.expr import WS_RUN, col, words
 from ..functions.metrics import agreement_cer
-from ..functions.ngrams import gram_counts, shared_ids
+from ..functions.ngrams import STATS, gram_counts, text_sides, token_sides
 from .ranking import exact_percentiles
 
 # chrF++ orders and weight, BLEU orders.
@@ -54,68 +55,94 @@ def _split_word_marks(text: Column) -> Column:
     ))
 
 
-def gram_statistics(df: DataFrame, keep: Sequence[str], ref: str, hyp: str, orders: Sequence[int],
-                    shift: int = 0) -> DataFrame:
-    """Per row and order: n-gram counts of both sides, clipped and shared matches.
+def gram_sums(df: DataFrame, group: Sequence[str], kinds: dict[str, tuple[Column, Column, Sequence[int]]],
+              also: dict[str, Callable[[Column], Column]] | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Per group and kind an array, one entry per order: sums over rows of the n-gram counts of both sides and their matches.
 
-    ``ref`` and ``hyp`` are texts (n-grams of characters) or arrays of tokens.
-    A row's n-grams never leave its Arrow batch: exploding them would multiply
-    the data by the number of orders and shuffle it.
+    A kind is (reference, hypothesis, orders), both texts (n-grams of
+    characters) or arrays of tokens. All kinds cross into Python once, a batch
+    at a time, and only sums reach the shuffle: exploding n-grams would multiply
+    the data by the number of orders. A pair with a null side counts nothing.
+    ``keep`` names further columns, ``also`` how to aggregate them.
     """
-    keep = list(keep)
-    schema = T.StructType([
-        *[df.schema[name] for name in keep],
-        *[T.StructField(n, T.IntegerType()) for n in ("order", "n_hyp", "n_ref", "n_match", "n_shared")],
-    ])
-    names = [f.name for f in schema.fields]
+    group, keep, also = list(group), keep or {}, also or {}
+    sides = {f"__{side}{i}": c for i, (ref, hyp, _) in enumerate(kinds.values()) for side, c in (("r", ref), ("h", hyp))}
+    read = df.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[c.alias(n) for n, c in keep.items()],
+                     *[c.alias(n) for n, c in sides.items()])
+    held = [f.name for f in read.schema.fields if f.name not in sides]
+    orders = [sorted(o) for _, _, o in kinds.values()]
+    is_text = [isinstance(read.schema[f"__r{i}"].dataType, T.StringType) for i in range(len(kinds))]
+    width = len(STATS)
+    schema = T.StructType([*[read.schema[n] for n in held], T.StructField("__counts", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, counts = [], []
-            for row in range(batch.num_rows):
-                r, h = (batch.column(len(keep) + i)[row].as_py() for i in (0, 1))
-                if r is None or h is None:
-                    continue
-                sides = (code_points(r), code_points(h)) if isinstance(r, str) else shared_ids(r, h)
-                found = list(gram_counts(*sides, orders))
-                at += [row] * len(found)
-                counts += found
-            table = np.array(counts, dtype=np.int32).reshape(-1, 5)
-            table[:, 0] += shift
-            columns = [batch.column(i).take(pa.array(at, type=pa.int64())) for i in range(len(keep))]
-            columns += [pa.array(table[:, i]) for i in range(5)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return df.select(*keep, ref, hyp).mapInArrow(run, schema)
-
-
-def chrf_statistics(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
-    """Corpus sums per order: characters 1..6, then words as orders 7..8.
-
-    A row's hypothesis n-grams count only where its reference has any.
-    """
-    packed = df.select(*group, *[F.regexp_replace(c, WS_RUN, "").alias(c) for c in (ref, hyp)])
-    tokens = df.select(*group, *[_split_word_marks(F.col(c)).alias(c) for c in (ref, hyp)])
-    rows = gram_statistics(packed, group, ref, hyp, CHAR_ORDERS).unionByName(
-        gram_statistics(tokens, group, ref, hyp, WORD_ORDERS, shift=len(CHAR_ORDERS)))
-    counted = F.when(F.col("n_ref") > 0, F.col("n_hyp")).otherwise(F.lit(0))
-    return rows.groupBy(*group, "order").agg(
-        F.sum(counted).alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
-    )
+            parts = []
+            for i, wanted in enumerate(orders):
+                pair = [batch.column(len(held) + 2 * i + k) for k in (0, 1)]
+                whole = np.logical_and(*[c.is_valid().to_numpy(zero_copy_only=False) for c in pair])
+                found = gram_counts(*(text_sides(*pair) if is_text[i] else token_sides(*pair)), wanted)
+                parts.append((found * whole[:, None, None]).reshape(batch.num_rows, -1))
+            counts = np.concatenate(parts, axis=1)
+            edges = np.arange(batch.num_rows + 1, dtype=np.int32) * counts.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(counts.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(held))], lists], names=[f.name for f in schema.fields])
+
+    rows = read.mapInArrow(run, schema)
+    sums, at = [], 0
+    for name, wanted in zip(kinds, orders):
+        entries = []
+        for n in wanted:
+            entries.append(F.struct(F.lit(n).alias("order"), *[
+                F.coalesce(F.sum(F.get("__counts", F.lit(at + k))), F.lit(0)).alias(stat) for k, stat in enumerate(STATS)]))
+            at += width
+        sums.append(F.array(*entries).alias(name))
+    out = rows.groupBy(*[f"__g{i}" for i in range(len(group))]).agg(*sums, *[of(F.col(n)).alias(n) for n, of in also.items()])
+    return out.select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(group)], *kinds, *also)
+
+
+def _chrf_kinds(ref: str, hyp: str) -> dict[str, tuple[Column, Column, Sequence[int]]]:
+    packed = [F.regexp_replace(c, WS_RUN, "") for c in (ref, hyp)]
+    tokens = [_split_word_marks(F.col(c)) for c in (ref, hyp)]
+    return {"chars": (*packed, CHAR_ORDERS), "words": (*tokens, WORD_ORDERS)}
+
+
+def _bleu_kinds(ref: str, hyp: str) -> dict[str, tuple[Column, Column, Sequence[int]]]:
+    return {"tokens": (tokenize_13a(ref), tokenize_13a(hyp), BLEU_ORDERS)}
+
+
+def _chrf_score() -> Column:
+    """From the sums of `_chrf_kinds`. A row's hypothesis n-grams count only where its reference has any."""
+    live = F.filter(F.concat("chars", "words"), lambda s: (s.n_counted > 0) & (s.n_ref > 0))
+
+    def mean(of: str) -> Column:
+        total = F.aggregate(live, F.lit(0.0), lambda acc, s: acc + s.n_match / s[of])
+        return F.when(F.size(live) > 0, total / F.size(live)).otherwise(F.lit(0.0))
+
+    p, r, b2 = mean("n_counted"), mean("n_ref"), BETA * BETA
+    return F.when(p + r > 0, 100 * (1 + b2) * p * r / (b2 * p + r)).otherwise(F.lit(0.0))
+
+
+def _bleu_score() -> Column:
+    """From the sums of `_bleu_kinds`: exponential smoothing, 0 if an order has no n-gram."""
+    log_sum, misses = F.lit(0.0), F.lit(0)
+    usable, any_match = F.lit(True), F.lit(False)
+    for i in range(len(BLEU_ORDERS)):
+        entry = F.get("tokens", F.lit(i))
+        total, match = entry["n_hyp"], entry["n_match"]
+        misses = misses + F.when(match == 0, 1).otherwise(0)
+        smoothed = F.when(match > 0, match / total).otherwise(1 / (F.pow(F.lit(2.0), misses) * total))
+        log_sum = log_sum + F.log(smoothed)
+        usable, any_match = usable & (total > 0), any_match | (match > 0)
+    first = F.get("tokens", F.lit(0))
+    brevity = F.when(first["n_hyp"] < first["n_ref"], F.exp(1 - first["n_ref"] / first["n_hyp"])).otherwise(F.lit(1.0))
+    score = F.when(usable & any_match, 100 * brevity * F.exp(log_sum / len(BLEU_ORDERS)))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def chrf_plus_plus(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
     """Corpus chrF++ per group (one row without a group)."""
-    stats = chrf_statistics(df, ref, hyp, group)
-    live = (F.col("n_hyp") > 0) & (F.col("n_ref") > 0)
-    means = stats.groupBy(*group).agg(
-        F.avg(F.when(live, F.col("n_match") / F.col("n_hyp"))).alias("p"),
-        F.avg(F.when(live, F.col("n_match") / F.col("n_ref"))).alias("r"),
-    )
-    p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-    b2 = BETA * BETA
-    score = F.when(p + r > 0, 100 * (1 + b2) * p * r / (b2 * p + r)).otherwise(F.lit(0.0))
-    return means.select(*group, score.alias("chrf"))
+    return gram_sums(df, group, _chrf_kinds(ref, hyp)).select(*group, _chrf_score().alias("chrf"))
 
 
 def tokenize_13a(text: Column | str) -> Column:
@@ -132,45 +159,18 @@ def tokenize_13a(text: Column | str) -> Column:
     return words(t)
 
 
-def bleu_statistics(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
-    tokens = df.select(*group, *[tokenize_13a(c).alias(c) for c in (ref, hyp)])
-    return gram_statistics(tokens, group, ref, hyp, BLEU_ORDERS).groupBy(*group, "order").agg(
-        F.sum("n_hyp").alias("n_hyp"), F.sum("n_ref").alias("n_ref"), F.sum("n_match").alias("n_match")
-    )
-
-
 def bleu(df: DataFrame, ref: str, hyp: str, group: Sequence[str] = ()) -> DataFrame:
-    """Corpus BLEU per group, exponential smoothing, 0 if an order has no n-gram."""
-    stats = bleu_statistics(df, ref, hyp, group)
-    at = {n: F.max(F.when(F.col("order") == n, F.struct("n_hyp", "n_ref", "n_match"))) for n in BLEU_ORDERS}
-    wide = stats.groupBy(*group).agg(*[at[n].alias(f"o{n}") for n in BLEU_ORDERS])
-    log_sum, misses = F.lit(0.0), F.lit(0)
-    usable, any_match = F.lit(True), F.lit(False)
-    for n in BLEU_ORDERS:
-        total = F.coalesce(F.col(f"o{n}.n_hyp"), F.lit(0))
-        match = F.coalesce(F.col(f"o{n}.n_match"), F.lit(0))
-        misses = misses + F.when(match == 0, 1).otherwise(0)
-        smoothed = F.when(match > 0, match / total).otherwise(1 / (F.pow(F.lit(2.0), misses) * total))
-        log_sum = log_sum + F.log(smoothed)
-        usable, any_match = usable & (total > 0), any_match | (match > 0)
-    hyp_len = F.coalesce(F.col("o1.n_hyp"), F.lit(0))
-    ref_len = F.coalesce(F.col("o1.n_ref"), F.lit(0))
-    brevity = F.when(hyp_len < ref_len, F.exp(1 - ref_len / hyp_len)).otherwise(F.lit(1.0))
-    score = F.when(usable & any_match, 100 * brevity * F.exp(log_sum / len(BLEU_ORDERS)))
-    return wide.select(*group, F.coalesce(score, F.lit(0.0)).alias("bleu"))
+    """Corpus BLEU per group (one row without a group)."""
+    return gram_sums(df, group, _bleu_kinds(ref, hyp)).select(*group, _bleu_score().alias("bleu"))
 
 
 def compare_systems(df: DataFrame, ref: str, hyp: str, system: str, baseline: str) -> DataFrame:
-    """Per system: chrF++, BLEU, mean lengths and the chrF++ gain over a baseline."""
-    sizes = df.groupBy(system).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.char_length(hyp)).alias("mean_hyp_chars"),
-        F.avg(F.char_length(ref)).alias("mean_ref_chars"),
-    )
-    scores = (
-        sizes.join(chrf_plus_plus(df, ref, hyp, [system]), system)
-        .join(bleu(df, ref, hyp, [system]), system)
-    )
+    """Per system, a null one included: chrF++, BLEU, mean lengths and the chrF++ gain over a baseline, from one pass."""
+    sums = gram_sums(
+        df, [system], {**_chrf_kinds(ref, hyp), **_bleu_kinds(ref, hyp)},
+        keep={"mean_hyp_chars": F.char_length(hyp), "mean_ref_chars": F.char_length(ref), "n": F.lit(1)},
+        also={"n": F.sum, "mean_hyp_chars": F.avg, "mean_ref_chars": F.avg})
+    scores = sums.select(system, "n", "mean_hyp_chars", "mean_ref_chars", _chrf_score().alias("chrf"), _bleu_score().alias("bleu"))
     # One row per system, so a window over all of them is small.
     base = F.max(F.when(F.col(system) == baseline, F.col("chrf"))).over(W.partitionBy(F.lit(0)))
     return scores.withColumn("chrf_gain", F.col("chrf") - base)
@@ -307,10 +307,7 @@ def slot_recovery(truth: DataFrame, slots: DataFrame, key: str) -> DataFrame:
 
 
 def position_accuracy(df: DataFrame, predicted: str, target: str, pad: int) -> DataFrame:
-    """Share of non-padding positions predicted right, over all positions.
-
-    The reference averages batch means; this is the plain share.
-    """
+    """Share of non-padding positions predicted right, over all positions; not a mean of batch means."""
     pairs = df.select(F.explode(F.arrays_zip(F.col(predicted).alias("p"), F.col(target).alias("t"))).alias("x"))
     real = pairs.where(F.col("x.t") != pad)
     return real.agg(
@@ -328,7 +325,10 @@ def score_summary(df: DataFrame, score: str, within: float = 0.35, group: Sequen
     )
     mid = exact_percentiles(df, score, [0.5], group)
     if group:
-        return plain.join(mid.select(*group, F.col("p")[0].alias("median")), group, "left")
+        # A group without scores has no median.
+        named = mid.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("p")[0].alias("median"))
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+        return plain.join(named, same, "left").drop(*[f"__{g}" for g in group])
     return plain.withColumn("median", mid.select(F.col("p")[0]).scalar())
 
 
