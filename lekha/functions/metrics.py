@@ -31,6 +31,16 @@ def agreement_cer(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(a, b) / longest)
 
 
+def agreement_within(a: Column | str, b: Column | str, limit: float) -> Column:
+    """`agreement_cer` up to ``limit``, and 1 beyond; the table is computed no further than that."""
+    a, b = col(a), col(b)
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    most = F.floor(longest * limit).cast("int")
+    shortest = F.least(F.char_length(a), F.char_length(b))
+    edits = F.when(a == b, 0).when(longest - shortest > most, -1).otherwise(F.call_function("levenshtein", a, b, most))
+    return F.when(longest == 0, F.lit(0.0)).when(edits < 0, F.lit(1.0)).otherwise(edits / longest)
+
+
 def symbol_cer(ref_ids: Column | str, hyp_ids: Column | str, n_classes: int) -> Column:
     """CER over class-index arrays."""
     return cer(pack_indices(ref_ids, n_classes), pack_indices(hyp_ids, n_classes))

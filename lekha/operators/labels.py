@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import encodable
 from ..functions.expr import strip
-from ..functions.metrics import agreement_cer
+from ..functions.metrics import agreement_cer, agreement_within
 from ..functions.text import page_group
 from ..session import stored
 from .ranking import exact_percentiles
@@ -34,13 +34,14 @@ def pending_crops(crops: DataFrame, labels: DataFrame) -> DataFrame:
 
 def screen_candidates(labels: DataFrame, crops: DataFrame, group: str | None = None,
                       min_chars: int = MIN_CHARS, digits: bool = False,
-                      is_encodable: Column | None = None) -> DataFrame:
+                      is_encodable: Column | None = None, primary: Column | None = None) -> DataFrame:
     """Primary rows with crop facts and the first reason for rejection.
 
     A crop the manifest does not know counts as a candidate only
     (reason ``unmatched``).
     """
-    primary = primary_labeller(labels).select("labeller").scalar()
+    if primary is None:
+        primary = primary_labeller(labels).select("labeller").scalar()
     rows = labels.where(F.col("labeller") == primary).join(crops.withColumn("__known", F.lit(True)), "crop", "left")
     text = strip("text")
     size = F.char_length(text)
@@ -58,40 +59,49 @@ def screen_candidates(labels: DataFrame, crops: DataFrame, group: str | None = N
 
 
 def length_band(screened: DataFrame, mads: float = LENGTH_MADS) -> DataFrame:
-    """One row: n, median, mad, low, high of characters per unit of aspect."""
-    dens = screened.where("reason is null and aspect <> 0").select(
-        (F.char_length("text") / F.col("aspect")).alias("d"))
-    middle = exact_percentiles(dens, "d", [0.5]).select("n", F.col("p")[0].alias("median"))
-    off = dens.select(F.abs(F.col("d") - middle.select("median").scalar()).alias("o"))
-    mad = exact_percentiles(off, "o", [0.5]).select(F.col("p")[0])
-    out = middle.withColumn("mad", mad.scalar())
-    out = out.withColumn("mad", F.when(F.col("mad") == 0, F.lit(LEAST_MAD)).otherwise(F.col("mad")))
-    return out.withColumn("low", F.col("median") - mads * F.col("mad")).withColumn(
-        "high", F.col("median") + mads * F.col("mad"))
+    """One row: n, median, mad, low, high of characters per unit of aspect; none where no row has an aspect.
+
+    Both medians come from one stored table of different densities and their
+    counts. They are two numbers, so the second is asked with the first at hand.
+    """
+    dens = screened.where("reason is null and aspect <> 0").groupBy((F.char_length("text") / F.col("aspect")).alias("d"))
+    dens = stored(dens.agg(F.count(F.lit(1)).alias("c")), "densities")
+    schema = "n long, median double, mad double, low double, high double"
+    middle = exact_percentiles(dens, "d", [0.5], weight="c").first()
+    if middle is None:
+        return dens.sparkSession.createDataFrame([], schema)
+    n, (median,) = middle
+    off = dens.select(F.abs(F.col("d") - median).alias("o"), "c")
+    mad = exact_percentiles(off, "o", [0.5], weight="c").first()["p"][0] or LEAST_MAD
+    return dens.sparkSession.createDataFrame([(n, median, mad, median - mads * mad, median + mads * mad)], schema)
 
 
 def apply_length_band(screened: DataFrame, mads: float = LENGTH_MADS) -> DataFrame:
     """Reject rows outside the band; with fewer than eight rows nothing is."""
-    band = length_band(screened, mads).select(F.struct("n", "low", "high")).scalar()
+    band = length_band(screened, mads).first()
     density = F.when(F.col("aspect") != 0, F.char_length("text") / F.col("aspect")).otherwise(F.lit(0.0))
-    outside = (F.col("band.n") >= LEAST_ROWS_FOR_BAND) & ~density.between(F.col("band.low"), F.col("band.high"))
-    return (
-        screened.withColumn("band", band).withColumn("density", density)
-        .withColumn("reason", F.coalesce("reason", F.when(outside, "length"))).drop("band")
-    )
+    outside = F.lit(False)
+    if band is not None and band["n"] >= LEAST_ROWS_FOR_BAND:
+        outside = ~F.col("density").between(band["low"], band["high"])
+    return screened.withColumn("density", density).withColumn("reason", F.coalesce("reason", F.when(outside, "length")))
 
 
-def closest_other(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Least disagreement of each crop with any other labeller's non-blank text."""
+def closest_other(rows: DataFrame, others: DataFrame, limit: float | None = None) -> DataFrame:
+    """Least disagreement of each crop with any other labeller's non-blank text.
+
+    With a ``limit``, distances stop there, which is much cheaper for unlike
+    texts: a disagreement beyond it is given as 1.
+    """
     theirs = others.where(strip("text") != "").select("crop", F.col("text").alias("other"))
-    return rows.select("crop", "text").join(theirs, "crop").groupBy("crop").agg(
-        F.min(agreement_cer("text", "other")).alias("disagreement"))
+    apart = agreement_cer("text", "other") if limit is None else agreement_within("text", "other", limit)
+    return rows.select("crop", "text").join(theirs, "crop").groupBy("crop").agg(F.min(apart).alias("disagreement"))
 
 
-def apply_agreement(screened: DataFrame, labels: DataFrame, limit: float = MAX_DISAGREEMENT) -> DataFrame:
+def apply_agreement(screened: DataFrame, labels: DataFrame, primary: str | None, limit: float = MAX_DISAGREEMENT,
+                    exact: bool = True) -> DataFrame:
     """Reject rows no other labeller comes close to; unchecked rows stay."""
-    primary = primary_labeller(labels).select("labeller").scalar()
-    scores = closest_other(screened.where("reason is null"), labels.where(F.col("labeller") != primary))
+    others = labels.where(F.col("labeller") != F.lit(primary))
+    scores = closest_other(screened.where("reason is null"), others, None if exact else limit)
     far = F.coalesce(F.col("disagreement") > limit, F.lit(False))
     return screened.join(scores, "crop", "left").withColumn(
         "reason", F.coalesce("reason", F.when(far, "disagreement")))
@@ -100,14 +110,17 @@ def apply_agreement(screened: DataFrame, labels: DataFrame, limit: float = MAX_D
 def build_label_set(labels: DataFrame, crops: DataFrame, group: str | None = None,
                     max_disagreement: float = MAX_DISAGREEMENT, mads: float = LENGTH_MADS,
                     min_chars: int = MIN_CHARS, digits: bool = False,
-                    is_encodable: Column | None = None) -> DataFrame:
+                    is_encodable: Column | None = None, exact: bool = True) -> DataFrame:
     """Every candidate with its reason; NULL marks the kept ones.
 
     The screened rows feed two medians, the band and the agreement check, so
-    they are stored once instead of joined again for each.
+    they are stored once instead of joined again for each. Without ``exact``,
+    disagreements over the limit are only told apart from those within.
     """
-    screened = stored(screen_candidates(labels, crops, group, min_chars, digits, is_encodable), "screened")
-    return apply_agreement(apply_length_band(screened, mads), labels, max_disagreement)
+    primary = primary_labeller(labels).first()
+    primary = None if primary is None else primary["labeller"]
+    screened = stored(screen_candidates(labels, crops, group, min_chars, digits, is_encodable, F.lit(primary)), "screened")
+    return apply_agreement(apply_length_band(screened, mads), labels, primary, max_disagreement, exact)
 
 
 def funnel(label_set: DataFrame) -> DataFrame:

@@ -438,15 +438,15 @@ def _label_sql(body: str) -> str:
     return with_views("", "label_rows", "crops").rstrip() + "," + _SCREEN + body
 
 
-def _label_set(spark, sf_dir):
+def _label_set(spark, sf_dir, exact=True):
     plain = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    return labels.build_label_set(label_rows(spark, sf_dir), crops(spark, sf_dir), is_encodable=plain)
+    return labels.build_label_set(label_rows(spark, sf_dir), crops(spark, sf_dir), is_encodable=plain, exact=exact)
 
 
 @query("f1_rejection_funnel", _label_sql("""
     SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM label_set GROUP BY 1"""))
 def f1(spark, sf_dir):
-    return labels.funnel(_label_set(spark, sf_dir))
+    return labels.funnel(_label_set(spark, sf_dir, exact=False))
 
 
 @query("f2_length_band", _label_sql("""
