@@ -27,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import once
 from ..session import stored
 from .common import pieces, split_words
 
 ONE = 1_000_000_000  # shares are whole parts of this
 _SOURCES = 48  # sources in a block, on average
+_PLAIN = 9_000_000_000  # counts below give products with ONE that fit a long
 _ENTRIES = 1 << 18  # nonzeros of a block of terms, on average
 _COUNTS = "lang string, source string, term string, n long, docs long"
 _JOINT = "lang string, g string, a long, h string, b long, terms long"
@@ -90,9 +92,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def _share(n: Column, words: Column, terms: Column) -> Column:
-    """1 + floor(ONE * (n + 1) / (words + terms)); exact at any count."""
-    above = F.lit(ONE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return F.call_function("div", above, (words + terms).cast("decimal(20,0)")).cast("long") + 1
+    """1 + floor(ONE * (n + 1) / (words + terms)); decimals take over where the product leaves a long."""
+    wide = F.call_function("div", F.lit(ONE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (words + terms).cast("decimal(20,0)"))
+    return F.when(n < _PLAIN, F.call_function("div", ONE * (n + 1), words + terms)).otherwise(wide.cast("long")) + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -183,29 +185,29 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
 
     # Every ordered pair starts as if no term occurred in either source; rows below add what levels over 0 change.
-    one = size.select("lang", F.col("source").alias("g"), F.col("words").alias("g_words"), "v")
-    two = size.select("lang", F.col("source").alias("h"), F.col("words").alias("h_words"))
+    zero, v = F.lit(0).cast("long"), F.col("v")
+    one = size.select("lang", F.col("source").alias("g"), F.col("words").alias("g_words"), "v",
+                      F.when(v > 0, _share(zero, F.col("words"), v)).alias("g_0"))
+    two = one.select("lang", F.col("g").alias("h"), F.col("g_words").alias("h_words"), F.col("g_0").alias("h_0"))
     pairs = one.join(two, "lang").where("g <> h")
-    n, a, b, v = F.col("terms"), F.col("a"), F.col("b"), F.col("v")
-    zero = F.lit(0).cast("long")
-
-    def f(x: Column, x_words: str, y: Column, y_words: str) -> Column:
-        return _gap(_share(x, F.col(x_words), v), _share(y, F.col(y_words), v))
+    terms_here = F.col("terms").cast("decimal(20,0)")
+    g_0, h_0, g_a, h_b = (F.col(c) for c in ("g_0", "h_0", "g_a", "h_b"))
 
     def change(source: str, item: str, amount: Column) -> Column:
-        return F.struct(F.col(source).alias("source"), F.col(item).alias("item"), (n.cast("decimal(20,0)") * amount).alias("value"))
-
-    base = pairs.where("v > 0").select("lang", F.col("g").alias("source"), F.col("h").alias("item"),
-                                       (v.cast("decimal(20,0)") * f(zero, "g_words", zero, "h_words")).alias("value"))
-    base = base.unionAll(pairs.where("v = 0").select("lang", "g", "h", F.lit(0).cast("decimal(38,0)")))
-    margin = (kept.groupBy("lang", F.col("source").alias("g"), F.col("n").alias("a")).agg(F.count("*").alias("terms")).join(pairs, ["lang", "g"])
-              .select("lang", F.inline(F.array(
-                  change("g", "h", f(a, "g_words", zero, "h_words") - f(zero, "g_words", zero, "h_words")),
-                  change("h", "g", f(zero, "h_words", a, "g_words") - f(zero, "h_words", zero, "g_words"))))))
+        return F.struct(F.col(source).alias("source"), F.col(item).alias("item"), (terms_here * amount).alias("value"))
+
+    base = pairs.select("lang", F.col("g").alias("source"), F.col("h").alias("item"),
+                        F.when(v > 0, v.cast("decimal(20,0)") * _gap(g_0, h_0)).otherwise(0).cast("decimal(38,0)").alias("value"))
+    levels = kept.groupBy("lang", F.col("source").alias("g"), F.col("n").alias("a")).agg(F.count("*").alias("terms"))
+    margin = once(levels.join(pairs, ["lang", "g"]), ["lang", "g", "h", "g_0", "h_0", "terms"], g_a=_share(F.col("a"), F.col("g_words"), v))
+    margin = margin.select("lang", F.inline(F.array(
+        change("g", "h", _gap(g_a, h_0) - _gap(g_0, h_0)), change("h", "g", _gap(h_0, g_a) - _gap(h_0, g_0)))))
     joint = joint_tables(kept, size.select("lang", "sources", "entries").distinct()).join(pairs, ["lang", "g", "h"])
-    joint = joint.select("lang", F.inline(F.array(*[
-        change(x, y, f(la, xw, lb, yw) - f(la, xw, zero, yw) - f(zero, xw, lb, yw) + f(zero, xw, zero, yw))
-        for x, y, la, xw, lb, yw in (("g", "h", a, "g_words", b, "h_words"), ("h", "g", b, "h_words", a, "g_words"))])))
+    joint = once(joint, ["lang", "g", "h", "g_0", "h_0", "terms"], g_a=_share(F.col("a"), F.col("g_words"), v),
+                 h_b=_share(F.col("b"), F.col("h_words"), v))
+    joint = joint.select("lang", F.inline(F.array(
+        change("g", "h", _gap(g_a, h_b) - _gap(g_a, h_0) - _gap(g_0, h_b) + _gap(g_0, h_0)),
+        change("h", "g", _gap(h_b, g_a) - _gap(h_b, g_0) - _gap(h_0, g_a) + _gap(h_0, g_0)))))
     prices = (base.unionAll(margin).unionAll(joint).groupBy("lang", "source", "item")
               .agg(F.sum("value").cast("long").alias("value"))
               .select("lang", "source", F.lit("pair").alias("part"), "item", "value")
