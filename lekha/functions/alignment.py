@@ -1,74 +1,173 @@
-"""Row-level alignment helpers that run inside Arrow batches."""
+"""Alignment kernels that run inside Arrow batches, many pairs or lines at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-_WHOLE_TABLE = 4_000_000  # cells; larger tables are kept in blocks of rows
-_BLOCK = 256
+from .ngrams import Side
+
+_FAR = np.int32(1 << 29)
+_SPARE = 8  # diagonals tried beyond the two lengths' difference
+_POSITIONS = 1 << 20  # characters of both sides that are aligned together
+_CELLS = 1 << 23  # kept rows and back steps of the pairs that advance together
 
 
-def _rows(first: np.ndarray, ref: np.ndarray, hyp: np.ndarray, start: int, stop: int) -> list[np.ndarray]:
-    """Rows start..stop of the edit-distance table, given row ``start``.
+def align_pairs(refs: Side, hyps: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Minimal edit paths of all pairs: (pair, ref index, hyp index) arrays, -1 where one side has nothing.
 
-    Rows are stored less their column number: a chain of insertions along a
-    row is then a running minimum.
+    Walking back from the end, a path prefers match or substitution, then
+    deletion, then insertion. Pairs of like length advance together, row by row,
+    over the diagonals near the main one; a pair whose distance shows that a
+    path might leave them is done again over twice as many, so the result is
+    that of the whole table. Only every root-of-n-th row is kept; the rows
+    between are computed again on the way back. A pair's positions come in
+    order and in one piece, the pairs by length.
     """
-    rows = [first]
-    change = (hyp[None, :] != ref[start:stop, None]).astype(np.int32) - 1
-    for i in range(start + 1, stop + 1):
-        row = np.empty(len(hyp) + 1, dtype=np.int32)
-        row[0] = i
-        np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + change[i - start - 1], out=row[1:])
-        rows.append(np.minimum.accumulate(row, out=row))
-    return rows
+    n_all, m_all = np.diff(refs[1]), np.diff(hyps[1])
+    by_size = np.argsort(n_all + m_all, kind="stable")
+    upto = np.cumsum((n_all + m_all)[by_size])
+    first = 0
+    while first < len(by_size):
+        base = upto[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(upto, base + _POSITIONS, side="right")))
+        yield _align_group(refs, hyps, by_size[first:stop])
+        first = stop
 
 
 def align_codes(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a minimal edit path, -1 where one side has nothing.
+    """Index pairs of one minimal edit path, as `align_pairs` chooses it."""
+    sides = [(np.asarray(c), np.array([0, len(c)])) for c in (ref, hyp)]
+    _, r, h = next(align_pairs(*sides))
+    return r, h
+
+
+def _padded(side: Side, pairs: np.ndarray, lengths: np.ndarray, before: int, width: int, fill: int) -> np.ndarray:
+    """One row of ``width`` per pair: its first ``lengths`` items after ``before`` places, ``fill`` around them."""
+    items, starts = side
+    out = np.full((len(pairs), width), fill, np.int32)
+    place = np.arange(lengths.max(initial=0))
+    inside = place < lengths[:, None]
+    rows = np.broadcast_to(np.arange(len(pairs))[:, None], inside.shape)[inside]
+    at = np.broadcast_to(place, inside.shape)[inside]
+    out[rows, before + at] = items[starts[pairs][rows] + at]
+    return out
+
+
+def _equal_ends(refs: Side, hyps: Side, pairs: np.ndarray, shortest: np.ndarray) -> np.ndarray:
+    """Length of the common end of each pair: it always matches first on the way back."""
+    same, live, k = np.zeros(len(pairs), np.int64), np.arange(len(pairs)), 0
+    ends = refs[1][pairs + 1], hyps[1][pairs + 1]
+    while live.size:
+        live = live[k < shortest[live]]
+        live = live[refs[0][ends[0][live] - 1 - k] == hyps[0][ends[1][live] - 1 - k]]
+        k += 1
+        same[live] = k
+    return same
 
-    Walking back from the end it prefers match or substitution, then
-    deletion, then insertion. A long pair keeps only every 256th table row
-    and recomputes blocks on the way back, so memory stays far below n x m.
+
+def _align_group(refs: Side, hyps: Side, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.diff(refs[1])[pairs], np.diff(hyps[1])[pairs]
+    same = _equal_ends(refs, hyps, pairs, np.minimum(n, m))
+    n, m = n - same, m - same
+    parts = []
+    todo = [(np.flatnonzero(np.maximum(n, m) >= 0), None)]
+    while todo:
+        some, band = todo.pop()
+        if band is None:
+            bands = _SPARE << np.ceil(np.log2(np.maximum(np.abs(n - m)[some] / _SPARE, 1))).astype(np.int64)
+            todo += [(some[bands == b], int(b)) for b in np.unique(bands)]
+            continue
+        some = some[np.argsort(-n[some], kind="stable")]
+        while some.size:
+            rows = int(n[some[0]])
+            each = (2 * int(np.sqrt(rows)) + 2) * (2 * band + 1)
+            together, some = some[:max(1, _CELLS // each)], some[max(1, _CELLS // each):]
+            done, r, h, failed = _solve_band(refs, hyps, pairs[together], n[together], m[together], band)
+            parts.append((together[done], r, h))
+            if failed.size:
+                todo.append((together[failed], 2 * band))
+    tail = np.repeat(np.arange(len(pairs)), same)
+    back = np.arange(len(tail)) - np.repeat(np.cumsum(same) - same, same)
+    pair = np.concatenate([p for p, _, _ in parts] + [tail])
+    ref = np.concatenate([r for _, r, _ in parts] + [n[tail] + back])
+    hyp = np.concatenate([h for _, _, h in parts] + [m[tail] + back])
+    order = np.argsort(pair, kind="stable")  # a pair's tail follows the rest of it
+    return pairs[pair[order]], ref[order].astype(np.int32), hyp[order].astype(np.int32)
+
+
+def _solve_band(refs: Side, hyps: Side, pairs: np.ndarray, n: np.ndarray, m: np.ndarray,
+                band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paths of pairs, longest reference first, over 2 x band + 1 diagonals.
+
+    Cell b of row i is column i + b - band. Values are stored less their column,
+    so a chain of insertions along a row is a running minimum. Returns (place of
+    the pair, ref index, hyp index) arrays and the places of pairs whose path
+    might leave the band.
     """
-    # Equal ends always match first on the way back, so they need no table.
-    shortest = min(len(ref), len(hyp))
-    tail = ref[len(ref) - shortest:] == hyp[len(hyp) - shortest:]
-    same = shortest if tail.all() else int(np.argmin(tail[::-1]))
-    n, m = len(ref) - same, len(hyp) - same
-    pairs_r = list(range(len(ref) - 1, n - 1, -1))
-    pairs_h = list(range(len(hyp) - 1, m - 1, -1))
-    ref, hyp = ref[:n], hyp[:m]
-
-    block = n + 1 if (n + 1) * (m + 1) <= _WHOLE_TABLE else _BLOCK
-    starts = [np.zeros(m + 1, dtype=np.int32)]
-    table, base = [], 0
-    for at in range(0, n, block):
-        table, base = _rows(starts[-1], ref, hyp, at, min(at + block, n)), at
-        starts.append(table[-1])
-
-    i, j = n, m
-    ref_items, hyp_items = ref.tolist(), hyp.tolist()  # plain numbers compare faster one by one
-    while i > 0 and j > 0:
-        if i <= base:
-            base -= block
-            table = _rows(starts[base // block], ref, hyp, base, base + block)
-        here, above = table[i - base].item(j), table[i - base - 1]
-        if here == above.item(j - 1) - (ref_items[i - 1] == hyp_items[j - 1]):
-            i, j = i - 1, j - 1
-            pairs_r.append(i)
-            pairs_h.append(j)
-        elif here == above.item(j) + 1:
-            i -= 1
-            pairs_r.append(i)
-            pairs_h.append(-1)
-        else:
-            j -= 1
-            pairs_r.append(-1)
-            pairs_h.append(j)
-    pairs_r += [*range(i - 1, -1, -1), *[-1] * j]
-    pairs_h += [*[-1] * i, *range(j - 1, -1, -1)]
-    return np.array(pairs_r[::-1], dtype=np.int32), np.array(pairs_h[::-1], dtype=np.int32)
+    rows, wide = int(n[0]), 2 * band + 1
+    ref = _padded(refs, pairs, n, 0, max(1, rows), -2)
+    hyp = _padded(hyps, pairs, m, band + 1, rows + wide + 1, -1)
+    live = np.searchsorted(-n, -np.arange(rows + 2), side="right")  # pairs with at least i rows
+    step = int(np.sqrt(rows)) + 1
+
+    def advance(row: np.ndarray, i: int, ways: np.ndarray | None) -> np.ndarray:
+        k = live[i]
+        row = row[:k]
+        diagonal = row + (hyp[:k, i:i + wide] != ref[:k, i - 1:i]) - np.int32(1)
+        above = np.full_like(row, _FAR)
+        above[:, :-1] = row[:, 1:] + 1
+        best = np.minimum(diagonal, above)
+        if i <= band:  # columns up to 0
+            best[:, :band - i] = _FAR
+            best[:, band - i] = i
+        best = np.minimum.accumulate(best, axis=1)
+        if ways is not None:
+            ways[:k] = np.where(best == diagonal, 0, np.where(best == above, 1, 2))
+            if i <= band:
+                ways[:k, band - i] = 1
+        return best
+
+    row = np.zeros((len(pairs), wide), np.int32)
+    row[:, :band] = _FAR
+    distance = m.copy()
+    kept = []
+    for i in range(rows + 1):
+        if i:
+            row = advance(row, i, None)
+        if i % step == 0:
+            kept.append(row)
+        ends = np.arange(live[i + 1], live[i])
+        distance[ends] = row[ends, m[ends] - n[ends] + band] + m[ends]
+    sure = distance < 2 * (band + 1) - np.abs(n - m)
+
+    i, j, place = np.where(sure, n, 0), np.where(sure, m, 0), n + m
+    path = np.full((2, len(pairs), int((n + m).max(initial=0))), -1, np.int32)
+    for block in range(len(kept) - 1, -1, -1):
+        base = block * step
+        if not (i > base).any():
+            continue
+        last = min(base + step, rows)
+        ways = np.empty((last - base, live[base + 1], wide), np.uint8)
+        row = kept[block]
+        for k in range(base + 1, last + 1):
+            row = advance(row, k, ways[k - base - 1])
+        walking = np.flatnonzero(i > base)
+        while walking.size:
+            wi, wj = i[walking], j[walking]
+            way = ways[wi - base - 1, walking, wj - wi + band]
+            wi, wj = wi - (way != 2), wj - (way != 1)
+            place[walking] -= 1
+            path[0, walking, place[walking]] = np.where(way != 2, wi, -1)
+            path[1, walking, place[walking]] = np.where(way != 1, wj, -1)
+            i[walking], j[walking] = wi, wj
+            walking = walking[wi > base]
+    owner = np.repeat(np.arange(len(pairs)), j)  # what is left of the hypothesis stands before everything
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(j) - j, j)
+    path[1, owner, (place - j)[owner] + at] = at
+    used = (np.arange(path.shape[2]) >= (place - j)[:, None]) & (np.arange(path.shape[2]) < (n + m)[:, None]) & sure[:, None]
+    return np.nonzero(used)[0], path[0][used], path[1][used], np.flatnonzero(~sure)
 
 
 def code_points(text: str) -> np.ndarray:

@@ -44,12 +44,12 @@ def token_sides(*lists: pa.Array) -> list[Side]:
     return list(zip(np.split(ids, cuts), starts))
 
 
-def _pieces(starts: Sequence[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `_TOGETHER` items, one row at least."""
+def row_ranges(starts: Sequence[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` items on all sides, one row at least."""
     total = sum(starts)
     first, rows = 0, len(total) - 1
     while first < rows:
-        stop = max(first + 1, int(np.searchsorted(total, total[first] + _TOGETHER, side="right")) - 1)
+        stop = max(first + 1, int(np.searchsorted(total, total[first] + most, side="right")) - 1)
         yield first, min(stop, rows)
         first = min(stop, rows)
 
@@ -63,7 +63,7 @@ def gram_counts(ref: Side, hyp: Side, orders: Sequence[int]) -> np.ndarray:
     """
     rows = len(ref[1]) - 1
     out = np.zeros((rows, len(orders), len(STATS)), np.int64)
-    for first, stop in _pieces([ref[1], hyp[1]]):
+    for first, stop in row_ranges([ref[1], hyp[1]], _TOGETHER):
         sides = [(items[s[first]:s[stop]], s[first:stop + 1] - s[first]) for items, s in (ref, hyp)]
         out[first:stop] = _piece_counts(sides, list(orders))
     return out

@@ -11,15 +11,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.alignment import align_codes, code_points
+from ..functions.alignment import align_pairs
 from ..functions.expr import WS_RUN, col, words
 from ..functions.metrics import agreement_cer
-from ..functions.ngrams import STATS, gram_counts, text_sides, token_sides
+from ..functions.ngrams import STATS, gram_counts, row_ranges, text_sides, token_sides
 from .ranking import exact_percentiles
 
 # chrF++ orders and weight, BLEU orders.
@@ -27,6 +28,7 @@ CHAR_ORDERS = range(1, 7)
 WORD_ORDERS = range(1, 3)
 BETA = 2.0
 BLEU_ORDERS = range(1, 5)
+_LETTERS = 1 << 22  # characters of a batch that are held apart at once
 ASCII_PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 
 
@@ -182,8 +184,9 @@ def compare_systems(df: DataFrame, ref: str, hyp: str, system: str, baseline: st
 def aligned_pairs(df: DataFrame, keep: Sequence[str], ref: str, hyp: str) -> DataFrame:
     """One row per aligned position: kept columns, indices and characters.
 
-    ``ref_idx`` or ``hyp_idx`` is NULL for an insertion or a deletion. Works
-    row by row on Arrow batches; nothing is shuffled.
+    ``ref_idx`` or ``hyp_idx`` is NULL for an insertion or a deletion; a pair
+    with a null side gives no row. Pairs are aligned many at a time inside
+    Arrow batches; nothing is shuffled.
     """
     keep = list(keep)
     kept = [df.schema[name] for name in keep]
@@ -192,31 +195,27 @@ def aligned_pairs(df: DataFrame, keep: Sequence[str], ref: str, hyp: str) -> Dat
         T.StructField("ref_idx", T.IntegerType()), T.StructField("hyp_idx", T.IntegerType()),
         T.StructField("ref_ch", T.StringType()), T.StructField("hyp_ch", T.StringType()),
     ])
+    n_keys = len(keep)
 
-    def side(text: str, idx: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        gap = pa.array(idx < 0)
-        where = pa.array(idx, type=pa.int32())
-        index = pa.compute.if_else(gap, pa.scalar(None, pa.int32()), where)
-        return index, pa.array(list(text), type=pa.string()).take(index)
+    def side(letters: pa.Array, starts: np.ndarray, pair: np.ndarray, idx: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        none = idx < 0
+        return pa.array(idx, pa.int32(), mask=none), letters.take(pa.array(starts[pair] + idx, pa.int64(), mask=none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
-            n_keys = len(keep)
-            for row in range(batch.num_rows):
-                r, h = batch.column(n_keys)[row].as_py(), batch.column(n_keys + 1)[row].as_py()
-                if r is None or h is None:
-                    continue
-                ri, hi = align_codes(code_points(r), code_points(h))
-                if not len(ri):
-                    continue
-                same = pa.array(np.full(len(ri), row, dtype=np.int64))
-                columns = [batch.column(i).take(same) for i in range(n_keys)]
-                (r_idx, r_ch), (h_idx, h_ch) = side(r, ri), side(h, hi)
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, r_idx, h_idx, r_ch, h_ch], names=[f.name for f in schema.fields]
-                )
+            whole = pa.compute.and_(*[batch.column(n_keys + i).is_valid() for i in (0, 1)])
+            batch = batch.filter(whole)
+            lengths = [np.concatenate([[0], np.cumsum(pa.compute.utf8_length(batch.column(n_keys + i)).to_numpy(), dtype=np.int64)]) for i in (0, 1)]
+            for first, stop in row_ranges(lengths, _LETTERS):
+                part = batch.slice(first, stop - first)
+                texts = [part.column(n_keys + i) for i in (0, 1)]
+                letters = [pa.array(list("".join(t.to_pylist())), pa.string()) for t in texts]
+                sides = text_sides(*texts)
+                for pair, *indices in align_pairs(*sides):
+                    at = pa.array(pair)
+                    (r_idx, r_ch), (h_idx, h_ch) = (side(c, s[1], pair, idx) for c, s, idx in zip(letters, sides, indices))
+                    columns = [part.column(i).take(at) for i in range(n_keys)]
+                    yield pa.RecordBatch.from_arrays([*columns, r_idx, h_idx, r_ch, h_ch], names=[f.name for f in schema.fields])
 
     return df.select(*keep, F.col(ref).alias("__r"), F.col(hyp).alias("__h")).mapInArrow(run, schema)
 
