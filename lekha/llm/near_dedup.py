@@ -7,8 +7,10 @@ densification). Bands of the signature are bucket keys. A bucket links its
 members to its smallest document only, and every link is confirmed on the
 full shingle sets. Where a bucket's members still lie in different components,
 they get further centres, as do finer buckets made of two and three bands. These
-rounds join large groups with few pairs. At the end every pair of a bucket that
-still lies in two components and was not tested is tested, so no candidate is lost.
+rounds join large groups with few pairs. What then still shares a bucket across
+components is searched exactly: shingles are ordered from rare to frequent, and
+two sets of the wanted similarity share one of their rarest fifth. Documents
+under one template differ in just these, so they meet only where they are alike.
 
 Cases: a null or wordless text has no shingles and is linked with nothing;
 fewer words than a shingle make one shingle; equal sets form one class, and
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         tested = tested.union(more)
         links = stored(links.union(_confirmed(more, sets, percent)), "links")
         found = components(links, "minhash")
-    rest = stored(_remaining(buckets, found, tested, percent), "rest")
+    rest = stored(_remaining(buckets, found, tested, sets, percent), "rest")
     if rest.limit(1).count():
         found = components(links.union(_confirmed(rest, sets, percent)), "minhash")
     out = (signed.join(classes.select("set_key", "rep"), "set_key", "left")
@@ -202,14 +205,73 @@ def _finer(crowd: DataFrame, found: DataFrame, tested: DataFrame, bands: int, pe
     return _similar_sizes(pairs, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _remaining(buckets: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """All untested pairs of a bucket that lie in different components."""
-    slots = (buckets.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
+CELLS = 1 << 20  # cells of the table that counts shingles roughly; it alone is collected and sent to all tasks
+_CHUNK = 1 << 14
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of one task, in chunks of cells."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_cell(pc.list_flatten(batch.column("shingles")).to_numpy()), minlength=CELLS)
+    chunks = counts.reshape(-1, _CHUNK)
+    some = np.flatnonzero(chunks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([c.tobytes() for c in chunks[some]], pa.binary())], ["chunk", "counts"])
+
+
+def _add_cells(key: tuple, part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int64) for c in part.column("counts").to_pylist())
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _rarest(counts, percent: int):
+    """One row per shingle of each set's rarest part; ``pos`` counts from 0 in the order from rare to frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("shingles")).to_numpy().astype(np.int64)
+            values = pc.list_flatten(batch.column("shingles")).to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, counts.value[_cell(values)], row))
+            pos = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+            kept = pos < np.repeat(size - -(-percent * size // 100) + 1, size)
+            row, pos, values = row[kept], pos[kept], values[order][kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values), batch.column("rep").take(pa.array(row)), batch.column("c").take(pa.array(row)),
+                 pa.array(size[row]), pa.array(pos, pa.int32())], ["token", "rep", "c", "n", "pos"])
+    return run
+
+
+def _remaining(buckets: DataFrame, found: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs of different components that may be similar, among all members of buckets that hold several components.
+
+    Exact: the rarest n - ceil(percent n) + 1 shingles of two similar sets have
+    one in common, and at the first such the rest of both must still be long
+    enough. Any order of shingles does, so rough counts order them. Members of a
+    shingle's largest component only meet others, never each other.
+    """
+    slots = (buckets.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("key", "rep", F.coalesce("component", "rep").alias("c")))
     torn = slots.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    slots = stored(slots.join(torn, "key"), "torn")
-    a = slots.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    b = slots.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    similar = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar)
-    return pairs.select("a", "b", "n_a", "n_b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    left = slots.join(torn, "key", "left_semi").select("rep", "c").distinct()
+    own = stored(sets.withColumnRenamed("doc_id", "rep").join(left, "rep"), "left")
+    spark = own.sparkSession
+    counted = (own.select("shingles").mapInArrow(_count_cells, "chunk int, counts binary")
+               .groupBy("chunk").applyInArrow(_add_cells, "chunk int, counts binary").collect())  # CELLS numbers at any size
+    counts = np.zeros((CELLS // _CHUNK, _CHUNK), np.int64)
+    for r in counted:
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    rare = stored(own.mapInArrow(_rarest(spark.sparkContext.broadcast(counts.reshape(-1)), percent),
+                                 "token long, rep long, c long, n long, pos int"), "rare")
+    held = rare.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("held")).where("held > 1")
+    shared = stored(rare.join(held.drop("held"), "token"), "shared")
+    other = shared.select("token", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    apart = F.expr("c <> c2 and (c2 = main or rep < rep2)")
+    similar = F.expr(f"least(n - pos, n2 - pos2) * {100 + percent} >= {percent} * (n + n2)")
+    pairs = shared.where("c <> main").join(other, "token").where(apart & similar).select(
+        F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    return pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
