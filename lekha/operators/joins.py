@@ -56,11 +56,47 @@ def override_column(df: DataFrame, other: DataFrame, key: str, name: str) -> Dat
     return df.join(taken, key).withColumn(name, F.col("__new")).drop("__new")
 
 
+BLOCK = 512  # members of a key that meet the members of another such block in one task
+
+
+def in_blocks(df: DataFrame, key: str, member: str, size: int = BLOCK) -> DataFrame:
+    """Adds ``block`` and the key's number of ``blocks``: its members dealt by hash, about ``size`` to a block."""
+    blocks = df.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    return df.join(blocks, F.col(key) == F.col("__key")).drop("__key").withColumn(
+        "block", F.pmod(F.xxhash64(member), F.col("blocks")))
+
+
+def block_pairs(df: DataFrame, key: str, member: str, keep: Sequence[str], size: int = BLOCK) -> DataFrame:
+    """Every unordered pair of members of each key once: ``key``, then ``member`` and ``keep`` twice, suffixed _a and _b.
+
+    Members are dealt to blocks and a task joins two blocks, so a key holding a
+    third of all rows is spread over (blocks choose 2) tasks. ``member`` is
+    unique within its key; _a is the smaller one. Null keys have no pairs.
+    """
+    dealt = in_blocks(df.select(key, member, *keep), key, member, size)
+    columns = [member, *keep]
+
+    def side(suffix: str, others: Column, low: Column, high: Column) -> DataFrame:
+        return dealt.select("*", F.explode(others).alias("o")).select(
+            key, low.alias("i"), high.alias("j"), *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+
+    # The smaller block's members from one side, the larger block's from the other.
+    own, other = F.col("block"), F.col("o")
+    a = side("a", F.sequence(own, F.col("blocks") - 1), own, other)
+    b = side("b", F.sequence(F.lit(0).cast("long"), own), other, own)
+    swap = F.col(f"{member}_a") > F.col(f"{member}_b")
+    met = a.join(b, [key, "i", "j"]).where(f"i < j or {member}_a < {member}_b")
+    return met.select(key, *[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}")
+                             for x, y in ("ab", "ba") for c in columns])
+
+
 def self_pairs(df: DataFrame, key: str, order: str, value: str, both_ways: bool = False) -> DataFrame:
     """Pairs of different members of each key: i<j, or all i<>j."""
-    a = df.select(key, F.col(order).alias("i"), F.col(value).alias("a"))
-    b = df.select(key, F.col(order).alias("j"), F.col(value).alias("b"))
-    return a.join(b, key).where("i <> j" if both_ways else "i < j")
+    pairs = block_pairs(df, key, order, [value]).select(
+        key, F.col(f"{order}_a").alias("i"), F.col(f"{value}_a").alias("a"), F.col(f"{order}_b").alias("j"), F.col(f"{value}_b").alias("b"))
+    if both_ways:
+        pairs = pairs.unionAll(pairs.select(key, "j", "b", "i", "a"))
+    return pairs.select(key, "i", "a", "j", "b")
 
 
 def require_all(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
