@@ -1,5 +1,6 @@
 """Ranks, splits, dedupe, labels, consensus and packing."""
 
+import collections
 import random
 
 import pytest
@@ -241,14 +242,16 @@ def test_weighted_distances_equal_all_pairs(spark):
 # ---- packing and reports -----------------------------------------------------------------------------
 
 
-def test_greedy_batches_match_a_sequential_pass(spark):
+@pytest.mark.parametrize("partitions, budget, most", [(1, 900, 7), (5, 900, 7), (24, 900, 7), (9, 10**6, 7), (40, 50, 100), (7, 900, 1)])
+def test_greedy_batches_match_a_sequential_pass(spark, partitions, budget, most):
+    """Ranges of any size, some shorter than a batch, give the batches of one pass."""
     df = spark.range(60).select("id", (F.col("id") * 31 % 17 + 1).alias("h"), (F.col("id") * 13 % 29 + 1).alias("w"))
-    got = packing.budget_batches(df, "id", F.col("h"), F.col("w"), 900, 7, partitions=1)
+    got = packing.budget_batches(df, "id", F.col("h"), F.col("w"), budget, most, partitions=partitions)
     rows = sorted(((r["h"] * r["w"], r["id"], r["h"], r["w"]) for r in df.collect()))
     want, current = [], []
     for _, key, h, w in rows:
         top = max([h, *[x[1] for x in current]]) * max([w, *[x[2] for x in current]])
-        if current and ((len(current) + 1) * top > 900 or len(current) >= 7):
+        if current and ((len(current) + 1) * top > budget or len(current) >= most):
             want.append({x[0] for x in current})
             current = []
         current.append((key, h, w))
@@ -256,7 +259,10 @@ def test_greedy_batches_match_a_sequential_pass(spark):
     batches = {}
     for r in got.collect():
         batches.setdefault(r["batch"], set()).add(r["id"])
-    assert [batches[b] for b in sorted(batches)] == want
+    assert sorted(batches) == list(range(len(want))) and [batches[b] for b in sorted(batches)] == want
+
+
+def test_last_batch_of_one_may_go(spark):
     lone = spark.createDataFrame([(1, 1, 1), (2, 1, 900)], "id long, h int, w int")
     kept = packing.budget_batches(lone, "id", F.col("h"), F.col("w"), 900, 7, drop_single=True, partitions=1)
     assert ids(kept) == [1]
@@ -287,3 +293,45 @@ def test_null_groups_keep_their_rows(spark):
     got = {r["page"]: (r["n"], r["p"][0]) for r in ranking.exact_percentiles(df, "v", [0.5], ["page"]).collect()}
     assert got[None] == (10, 18.0)
     assert splits.whole_pages(df, "page", "pos", 100).count() == 40
+
+
+# ---- pairs of a hot key ------------------------------------------------------------------------
+
+
+def test_block_pairs_are_all_pairs_once(spark):
+    rows = [(f"k{i % 2}", i, f"v{i}") for i in range(120)] + [("one", 1, "x"), (None, 1, "y"), (None, 2, "z")]
+    df = spark.createDataFrame(rows, "k string, i int, v string")
+    for size in (4, 7, 1000):
+        got = [tuple(r) for r in joins.block_pairs(df, "k", "i", ["v"], size).select("k", "i_a", "v_a", "i_b", "v_b").collect()]
+        want = [(a[0], a[1], a[2], b[1], b[2]) for a in rows for b in rows if a[0] and a[0] == b[0] and a[1] < b[1]]
+        assert sorted(got) == sorted(want)
+
+
+def test_medoid_equals_all_pairs_from_fewer_distances(spark):
+    rng = random.Random(11)
+    rows = []
+    for crop in range(6):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)]
+        for k in range(1 if crop == 5 else 80):
+            read = list(text)
+            for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 90])):
+                read[rng.randrange(len(read))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            rows.append((crop, k, "".join(read)))
+        rows += [(crop, 100 + k, "".join(text)) for k in range(crop)] + [(crop, 200, "  ")]
+    rows += [(7, 0, " "), (8, 0, "tie a"), (8, 1, "tie b")]
+    df = spark.createDataFrame(rows, "crop int, sample_idx int, text string")
+    found, took = consensus.medoid_search(df)
+    distances = consensus.reading_distances(consensus.distinct_readings(df)).collect()
+    sums = collections.defaultdict(float)
+    for r in distances:
+        sums[r["crop"], r["ia"]] += r["wb"] * r["d"]
+        sums[r["crop"], r["ib"]] += r["wa"] * r["d"]
+    texts = {}
+    for crop, k, t in rows:
+        texts.setdefault((crop, t), k)
+    assert {r["crop"]: r["base"] for r in consensus.medoids(df).collect()} == {r["crop"]: r["base"] for r in found.collect()}
+    for r in found.collect():
+        mine = {k: t for (crop, t), k in texts.items() if crop == r["crop"] and t.strip()}
+        want = min(mine, key=lambda k: (round(sums[r["crop"], k], 9), k)) if mine else None
+        assert r["base"] == mine.get(want, "")
+    assert took < len(distances) / 5
