@@ -139,6 +139,32 @@ def a9(spark, sf_dir):
     return readers.image_paths(named)
 
 
+@query("a9_image_tree", with_views("""
+    SELECT DISTINCT CASE WHEN lang = 'de' THEN 'set/ground_truth_v2/' ELSE '' END || path AS path FROM photos WHERE lang <> 'de'""", "photos"))
+def a9_tree(spark, sf_dir):
+    """A folder tree of images and other files is written, then listed without reading any content."""
+    root = shared_dir(spark, "tree")
+    folder = F.when(F.col("lang") == "de", "set/ground_truth_v2/").otherwise("")
+    named = photos(spark, sf_dir).select(F.concat(folder, "path").alias("path"), "file_pos")
+    files = named.unionAll(named.select(F.concat("path", F.lit(".txt")), "file_pos"))
+    sinks.write_files(files.select("path", F.encode(F.col("file_pos").cast("string"), "UTF-8").alias("content")), root)
+    found = readers.list_images(spark, root)
+    return found.select(F.regexp_extract("path", "tree-[0-9a-f]+/(.*)$", 1).alias("path"))
+
+
+@query("a10_review_sheet", """
+    SELECT role AS tag, count(*) AS n, count(*) FILTER (WHERE len(text) = 0) AS n_empty, count(*) AS n_open FROM conversations GROUP BY role""")
+def a10_review(spark, sf_dir):
+    """Tokens go out as a sheet to be filled in and come back with its two empty columns."""
+    path = shared_dir(spark, "review")
+    tokens = table(spark, sf_dir, "conversations").select(
+        F.concat_ws(".", "conv_id", "turn").alias("sentence_id"), F.translate("text", "\t\n", "  ").alias("token"), F.col("role").alias("tag"))
+    sinks.write_review_sheet(tokens, path)
+    sheet = sinks.read_review_sheet(spark, path)
+    open_ = (F.col("correct") == "") & (F.col("corrected_tag") == "")
+    return sheet.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("token") == "").alias("n_empty"), F.count_if(open_).alias("n_open"))
+
+
 @query("a10_sink_round_trip", """
     SELECT f AS format, count(*) AS n, sum(length(text)) AS chars
     FROM (SELECT replace(text, chr(10), ' ') AS text FROM documents), (VALUES ('csv'), ('fields'), ('jsonl'), ('text')) v(f)
@@ -228,6 +254,36 @@ def a14(spark, sf_dir):
     return frame_store.frame_totals(stored, lines)
 
 
+@query("a14_width_check", """
+    SELECT line_id, n_frames, width, greatest(width // 8, 1) AS expected FROM (
+      SELECT vec_id // 10 AS line_id, count(*) AS n_frames, 8 * count(*) + (vec_id // 10) % 13 AS width FROM embeddings GROUP BY vec_id // 10)
+    WHERE n_frames <> greatest(width // 8, 1)""")
+def a14_width(spark, sf_dir):
+    """Lines up to 12 pixels wider than their frames; from 8 on a frame is missing."""
+    lines = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 10").alias("line_id")).agg(F.count(F.lit(1)).alias("n_frames"))
+    lines = lines.withColumn("width", 8 * F.col("n_frames") + F.col("line_id") % 13)
+    return frame_store.width_faults(lines).select("line_id", "n_frames", "width", "expected")
+
+
+@query("a15_growing_cache", """
+    WITH req AS (SELECT conv_id, turn, substr(sha256(text || '{"model": "m", "role": "' || role || '"}'), 1, 24) AS k FROM conversations),
+         cache AS (SELECT k, min(round) AS round FROM (SELECT k, 0 AS round FROM req WHERE turn = 0 UNION ALL SELECT k, 1 FROM req WHERE turn = 2) GROUP BY k)
+    SELECT r.conv_id, r.turn, coalesce(c.round, -1) AS round FROM req r LEFT JOIN cache c ON c.k = r.k""")
+def a15_cache(spark, sf_dir):
+    """Two rounds of results are added to a bucketed cache; the second adds only what the first lacks."""
+    turns = table(spark, sf_dir, "conversations")
+    settings = frame_store.settings_json({"role": F.col("role"), "model": F.lit("m")})
+    requests = frame_store.with_cache_key(turns, [F.col("text"), settings]).select("conv_id", "turn", "cache_key")
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("round", T.IntegerType())])
+    cache = frame_store.attach_cache(spark, shared_dir(spark, "cache"), schema, buckets=16)
+    for number, turn in enumerate((0, 2)):
+        asked = requests.where(F.col("turn") == turn).select("cache_key").distinct()
+        missing = frame_store.look_up(asked, cache, buckets=16, how="left_anti")
+        frame_store.add_to_cache(missing.withColumn("round", F.lit(number)), cache, buckets=16)
+    found = frame_store.look_up(requests, cache, buckets=16, how="left")
+    return found.select("conv_id", "turn", F.coalesce("round", F.lit(-1)).alias("round"))
+
+
 @query("a15_result_cache", """
     WITH req AS (SELECT conv_id, turn, substr(sha256(text || '{"model": "m", "role": "' || role || '"}'), 1, 24) AS k
                  FROM conversations),
@@ -255,6 +311,20 @@ def a16(spark, sf_dir):
     return frozen.agg(F.count(F.lit(1)).alias("n_frozen")).withColumn("n_differences", differ.scalar())
 
 
+@query("a16_known_checksums", """
+    SELECT doc_id // 100 AS bucket, sha256(string_agg(doc_id || ' ' || coalesce(lang, '') || chr(10), '' ORDER BY doc_id)) AS sha256
+    FROM documents GROUP BY doc_id // 100""")
+def a16_known(spark, sf_dir):
+    """One text file per hundred documents, of known lines."""
+    path = shared_dir(spark, "summed")
+    lines = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 100").alias("bucket"), "doc_id", F.concat_ws(" ", "doc_id", F.coalesce("lang", F.lit(""))).alias("value"))
+    ordered = lines.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    ordered.select("value", "bucket").write.partitionBy("bucket").text(path)
+    files = frame_store.file_checksums(spark, path)
+    return files.select(F.regexp_extract("path", "bucket=([0-9]+)/", 1).cast("long").alias("bucket"), "sha256")
+
+
 @query("a16_file_checksums")
 def a16_files(spark, sf_dir):
     files = frame_store.file_checksums(spark, f"{sf_dir}/documents.parquet")

@@ -163,3 +163,26 @@ def test_recovery_scan(spark):
     assert total[:3] == (2, 1, 1) and total["mean_weight"] == pytest.approx(.4, abs=1e-3)
     best = forced.top_examples(scan, 3).collect()
     assert len(best) == 1 and best[0]["rank"] == 2 and math.isclose(best[0]["truth_confidence"], .4, abs_tol=1e-3)
+
+
+def test_lines_of_every_outcome_are_counted(spark):
+    """Aligned, unencodable (null, a null symbol, an unknown class), unalignable (no symbols, too many, no frames), mismatched."""
+    rows = [(line, t, [0.0, 0.0, 0.0]) for line in range(7) for t in range(3)]
+    df = spark.createDataFrame(rows, "line_id long, frame int, log_probs array<double>")
+    targets = spark.createDataFrame([(0, [1, 2]), (1, None), (2, [1, None]), (3, [1, 7]), (4, []), (5, [1, 1, 1]), (6, [1]), (9, [1])],
+                                    "line_id long, targets array<int>")
+    labels = forced.forced_align(df, targets)
+    status = {r["line_id"]: r["status"] for r in labels.collect()}
+    assert status == {0: "aligned", 1: "unencodable", 2: "unencodable", 3: "unencodable", 4: "unalignable", 5: "unalignable", 6: "aligned", 9: "unalignable"}
+    totals = forced.recovery_totals(forced.recovery_scan(df, labels, 1.0)).first()
+    assert totals["unencodable"] == 3 and totals["unalignable"] == 3 and totals["aligned_frames"] >= 3
+    lost = labels.withColumn("label", F.when(F.col("line_id") == 6, 0).otherwise(F.col("label")))
+    outcomes = forced.line_outcomes(lost, targets)
+    assert {r["line_id"]: r["status"] for r in outcomes.collect()} == {**status, 6: "mismatched"}
+    widths = spark.createDataFrame([(0, 24), (6, 24)], "line_id long, width int")
+    cuts = forced.cut_bounds(forced.label_spans(lost, targets), widths)
+    report = forced.glyph_outcomes(cuts, outcomes).first()
+    assert (report["lines"], report["lines_aligned"], report["lines_unencodable"], report["lines_unalignable"], report["lines_mismatched"]) == (8, 1, 3, 3, 1)
+    assert report["glyphs_kept"] + report["glyphs_empty"] + report["glyphs_too_wide"] == 2
+    kept = {r["line_id"]: (r["n_targets"], r["n_kept"]) for r in forced.glyph_yield(cuts, outcomes).collect()}
+    assert kept[9] == (1, 0) and kept[0] == (2, report["glyphs_kept"]) and len(kept) == 8

@@ -121,6 +121,55 @@ def test_inbox_takes_each_key_once_across_restarts(spark, tmp_path):
     ingest_inbox(spark, box, schema, ["crop"], out, state).awaitTermination()
     got = spark.read.parquet(out).select("crop", "text").collect()
     assert sorted(map(tuple, got)) == [("a", "1"), ("b", "1"), ("c", "2")]
+    # What has landed is not needed to go on: the stream remembers its keys itself.
+    for landed in (tmp_path / "out").glob("part-*"):
+        landed.unlink()
+    spark.createDataFrame([("a", "3"), ("d", "3"), (None, "3"), (None, "3")], schema).write.mode("append").json(box)
+    ingest_inbox(spark, box, schema, ["crop"], out, state).awaitTermination()
+    fresh = spark.read.schema(schema).parquet(*map(str, (tmp_path / "out").glob("part-*")))
+    assert sorted(map(tuple, fresh.collect()), key=str) == [("d", "3"), (None, "3")]
+
+
+def test_checksum_of_a_file_larger_than_a_cell(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/abc").write_bytes(b"abc")
+    size = (1 << 31) + 12345  # more than a binary column can hold
+    with (tmp_path / "in/large file").open("wb") as out:
+        out.truncate(size)
+    want = hashlib.sha256()
+    for left in range(size, 0, -(1 << 24)):
+        want.update(bytes(min(left, 1 << 24)))
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in frame_store.file_checksums(spark, str(tmp_path / "in")).collect()}
+    assert got == {"abc": (3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), "large file": (size, want.hexdigest())}
+
+
+def test_lookup_leaves_the_cache_where_it_is(spark, tmp_path):
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("answer", T.StringType())])
+    name = frame_store.attach_cache(spark, str(tmp_path / "cache"), schema, buckets=5)
+    rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("cache_key"), F.col("id").cast("string").alias("answer"))
+    for part in (rows.where("answer < 20"), rows.where("answer between 20 and 29")):
+        frame_store.add_to_cache(part, name, buckets=5)
+    asked = rows.select("cache_key").where("hex(cache_key) > '3'")
+    for how in ("inner", "left", "left_anti"):
+        found = frame_store.look_up(asked, name, buckets=5, how=how)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert frame_store.look_up(rows, name, buckets=5).count() + frame_store.look_up(rows, name, buckets=5, how="left_anti").count() == 50
+
+
+def test_image_tree(spark, tmp_path):
+    names = ["a/x.jpg", "a/b/y.PNG", "a/b/z.txt", "ground_truth_1/w.tif", "v.tiff"]
+    files = spark.createDataFrame([(n, b"1") for n in names] + [("empty.jpg", None)], "path string, content binary")
+    assert sinks.write_files(files, str(tmp_path / "tree")) == 6
+    found = readers.list_images(spark, str(tmp_path / "tree"))
+    assert sorted(r["path"].split("/tree/")[1] for r in found.collect()) == ["a/b/y.PNG", "a/x.jpg", "v.tiff"]
+
+
+def test_width_faults(spark):
+    lines = spark.createDataFrame([(1, 4, 32), (2, 4, 39), (3, 4, 40), (4, 1, 5), (5, 2, None)], "line_id long, n_frames int, width int")
+    assert sorted(r["line_id"] for r in frame_store.width_faults(lines).collect()) == [3, 5]
 
 
 def bitmap(path, grey):
@@ -145,6 +194,13 @@ def test_image_quality(spark, tmp_path):
     assert survey == {"a.bmp": "good", "b.bmp": "broken"}
 
 
+def test_images_with_null_or_wrong_sizes_keep_nulls(spark):
+    rows = [("a", 1, 2, 1, b"\x00\xff"), ("b", None, 2, 1, b"\x00\xff"), ("c", 1, None, 1, b"1"), ("d", 2, 2, 1, b"1"), ("e", 1, 1, 3, None)]
+    got = images.image_quality(spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, data binary")).collect()
+    assert {r["path"]: r["brightness"] for r in got} == {"a": 127.5, "b": None, "c": None, "d": None, "e": None}
+    assert [r["width"] for r in got if r["path"] == "a"] == [2]
+
+
 def test_classifier_learns_a_separable_rule(spark):
     df = spark.range(400).select((F.col("id") % 2).alias("label"), (F.col("id") % 2 * 3 + F.col("id") % 5 / 10).alias("x"),
                                  (F.col("id") % 7).alias("y"), (F.col("id") % 10 == 0).alias("is_test"))
