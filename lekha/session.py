@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,3 +56,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the tables that `stored` wrote for these frames, unions of such included.
+
+    For intermediate results that nothing reads any more; rows derived from
+    them must be stored themselves by then.
+    """
+    folders = {name.rpartition("/")[0] for df in frames for name in df.inputFiles()}
+    for folder in folders:
+        if re.search("-[0-9a-f]{32}$", folder):  # one of `shared_dir`
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
