@@ -44,6 +44,18 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("crop"), F.posexplode(F.array(*edits)).alias("sample_idx", "text"))
 
 
+def known_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(crop, sample_idx, text): readings whose errors stand where a mark is that no passage has.
+
+    Such a mark can only replace the letter in its place, so every alignment is known.
+    """
+    t = F.translate("text", "#@", "  ")
+    one, two = F.replace(t, F.lit("e"), F.lit("#")), F.replace(t, F.lit("a"), F.lit("@"))
+    both = F.replace(one, F.lit("a"), F.lit("@"))
+    return spread(table(spark, sf_dir, "benchmark"), "item_id").select(
+        F.col("item_id").alias("crop"), F.posexplode(F.array(t, t, one, two, both, t)).alias("sample_idx", "text"))
+
+
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(crop, labeller, text): three labellers over the conversation turns."""
     t = F.col("text")
@@ -175,6 +187,11 @@ VIEWS = {
                CASE i WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN replace(text, 'th', 'd')
                       WHEN 3 THEN 'x ' || text WHEN 4 THEN replace(text, 'on', 'o') ELSE '  ' END AS text
         FROM benchmark, range(6) r(i)"""),
+    "known_readings": ([], """
+        SELECT item_id AS crop, i AS sample_idx,
+               CASE i WHEN 2 THEN replace(t, 'e', '#') WHEN 3 THEN replace(t, 'a', '@')
+                      WHEN 4 THEN replace(replace(t, 'e', '#'), 'a', '@') ELSE t END AS text
+        FROM (SELECT item_id, translate(text, '#@', '  ') AS t FROM benchmark), range(6) r(i)"""),
     "label_rows": ([], """
         SELECT * FROM (
           SELECT lpad(conv_id::VARCHAR, 19, '0') || '_' || lpad(turn::VARCHAR, 10, '0') AS crop, l AS labeller,

@@ -11,7 +11,7 @@ from ..operators import consensus, frames as fr, reports, scoring, splits
 from ..operators.dedupe import first_per_signature, one_per_page
 from ..operators.ranking import exact_percentiles
 from ..session import stored
-from .adapters import agreement, cer_sql, frames, kannada, lev, pairs, photos, readings, spread, table, truth, with_views
+from .adapters import agreement, cer_sql, frames, known_readings, kannada, lev, pairs, photos, readings, spread, table, truth, with_views
 from .registry import query
 from .text_queries import hash_sql, tokens
 
@@ -521,6 +521,67 @@ def f21_statistics(spark, sf_dir):
     return rounded(reports.demo_summary(per_crop), "mean_fraction_uncertain")
 
 
+# Readings of one length whose errors are known place by place: votes need no alignment.
+_KNOWN = """
+    base AS (SELECT crop, text AS base, 6 AS n FROM known_readings WHERE sample_idx = 0 AND trim(text) <> ''),
+    votes AS (SELECT crop, pos, n, any_value(b) AS chosen, c, count(*) AS votes FROM (
+        SELECT r.crop, i - 1 AS pos, n, substr(base, i, 1) AS b, substr(text, i, 1) AS c FROM (
+          SELECT k.crop, k.text, b.base, b.n, unnest(range(1, length(base) + 1)) AS i FROM known_readings k JOIN base b ON b.crop = k.crop) r)
+      GROUP BY crop, pos, n, c),
+    slots AS (SELECT crop, pos, n, any_value(chosen) AS chosen, max(votes / n) FILTER (WHERE c = chosen) AS agreement,
+                     string_agg(printf('%s:%.3f', c, votes / n), ' ' ORDER BY votes DESC, c) AS alternatives FROM votes GROUP BY crop, pos, n),
+    swaps AS (SELECT v.crop, v.pos, v.c, round(v.votes / v.n, 3) AS prob,
+                     row_number() OVER (PARTITION BY v.crop ORDER BY round(v.votes / v.n, 3) DESC, v.pos DESC, v.c DESC) AS rank
+              FROM votes v WHERE v.c <> v.chosen),
+    variants AS (SELECT crop, 0 AS rank, base AS text, 1.0::DOUBLE AS prob FROM base UNION ALL
+                 SELECT s.crop, rank, substr(base, 1, pos::INT) || c || substr(base, pos::INT + 2), prob FROM swaps s JOIN base b ON b.crop = s.crop WHERE rank <= 4)"""
+
+
+def known_sql(body: str) -> str:
+    return with_views("", "known_readings").rstrip() + "," + _KNOWN + body
+
+
+def _known_slots(spark, sf_dir):
+    rows = known_readings(spark, sf_dir)
+    bases = consensus.medoids(rows)
+    return bases, consensus.consensus_slots(consensus.position_votes(rows, bases))
+
+
+@query("i3_known_slots", known_sql("""
+    SELECT crop, pos, chosen, round(agreement, 3) AS agreement, alternatives FROM slots WHERE agreement < 1"""))
+def i3_known(spark, sf_dir):
+    unsure = consensus.uncertain_slots(_known_slots(spark, sf_dir)[1])
+    alternatives = F.transform("alternatives", lambda a: F.format_string("%s:%.3f", a["char"], a["prob"]))
+    return unsure.select("crop", "pos", "chosen", F.round("agreement", 3).alias("agreement"), F.array_join(alternatives, " ").alias("alternatives"))
+
+
+@query("i4_known_variants", known_sql(" SELECT crop, rank, text, prob FROM variants"))
+def i4_known(spark, sf_dir):
+    bases, slots = _known_slots(spark, sf_dir)
+    return consensus.variant_lines(bases, consensus.uncertain_slots(slots))
+
+
+@query("i5_known_block", known_sql(f"""
+    SELECT b.crop, 'reading: ' || base || coalesce(chr(10) || '{fr.UNDECIDED_READ}' || chr(10) || rivals, '') AS block FROM base b LEFT JOIN (
+      SELECT crop, string_agg('  ' || text || printf('  (%.2f)', prob), chr(10) ORDER BY rank) AS rivals FROM variants WHERE rank >= 1 GROUP BY crop) r
+    ON r.crop = b.crop"""))
+def i5_known(spark, sf_dir):
+    bases, slots = _known_slots(spark, sf_dir)
+    variants = consensus.variant_lines(bases, consensus.uncertain_slots(slots))
+    return fr.annotated_blocks(variants, fr.UNDECIDED_READ, "crop", max_rivals=4, least=0.0)
+
+
+@query("f21_known_statistics", known_sql("""
+    SELECT count(*) AS n_lines, round(avg(u / c), 6) AS mean_fraction_uncertain, count(*) FILTER (WHERE u > 0) AS n_lines_with_uncertain,
+           count(*) FILTER (WHERE u > 40) AS n_branches_differ
+    FROM (SELECT crop, count(*) AS c, count(*) FILTER (WHERE agreement < 1) AS u FROM slots GROUP BY crop)"""))
+def f21_known(spark, sf_dir):
+    bases, slots = _known_slots(spark, sf_dir)
+    slots = stored(slots, "slots")
+    per_crop = consensus.consensus_summary(bases, slots, consensus.uncertain_slots(slots)).withColumn("branches_differ", F.col("n_uncertain") > 40)
+    return rounded(reports.demo_summary(per_crop), "mean_fraction_uncertain")
+
+
 @query("f10_length_percentiles", """
     SELECT lang, count(*) AS n, round(quantile_cont(length(text), 0.1), 6) AS p10, round(median(length(text)), 6) AS p50,
            round(quantile_cont(length(text), 0.9), 6) AS p90 FROM documents GROUP BY lang""")

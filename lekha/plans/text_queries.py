@@ -502,6 +502,19 @@ def b17(spark, sf_dir):
                        F.regexp_count("kn", F.lit(spelling.swap_sites(old))).alias("sites"))
 
 
+@query("b17_certain_swap", """
+    WITH sites AS (SELECT doc_id, length(text) - length(replace(text, 'a', '')) AS n FROM documents)
+    SELECT doc_id, n AS swapped, 0 AS kept, n AS swapped_back FROM sites""")
+def b17_certain(spark, sf_dir):
+    """With rate 1 every site between vowels is swapped, with rate 0 none: one site for each letter a of a document."""
+    old, new = spelling.ARCHAIC_SWAPS[0]
+    site = F.concat(F.lit("ಅ"), F.lit(old), F.lit("ಆ"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.repeat(site, F.regexp_count("text", F.lit("a"))).alias("kn"))
+    count = {name: F.regexp_count(spelling.archaic_swap("kn", old, new, "doc_id", rate=rate), F.lit(new)) for name, rate in (("swapped", 1.0), ("kept", 0.0))}
+    return rows.select("doc_id", *[c.alias(n) for n, c in count.items()],
+                       F.regexp_count(F.replace(spelling.archaic_swap("kn", old, new, "doc_id", rate=1.0), F.lit(new), F.lit(old)), F.lit(old)).alias("swapped_back"))
+
+
 @query("b18_ratio_band", with_views("""
     SELECT pair_id, round(length(modern_text) / length(old_text), 6) AS ratio FROM pairs
     WHERE length(old_text) > 0 AND length(modern_text) / length(old_text) BETWEEN 0.7 AND 1.5""", "pairs"))
