@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lekha.functions.alignment import best_labellings, frames_needed
 from lekha.functions.codec import KANNADA
-from lekha.operators import forced, frames as fr
+from lekha.operators import forced, frames as fr, reports
 from lekha.tables import FRAMES
 
 C = 57
@@ -186,3 +186,10 @@ def test_lines_of_every_outcome_are_counted(spark):
     assert report["glyphs_kept"] + report["glyphs_empty"] + report["glyphs_too_wide"] == 2
     kept = {r["line_id"]: (r["n_targets"], r["n_kept"]) for r in forced.glyph_yield(cuts, outcomes).collect()}
     assert kept[9] == (1, 0) and kept[0] == (2, report["glyphs_kept"]) and len(kept) == 8
+
+
+def test_readable_recoveries_are_filtered_and_ordered(spark):
+    rows = [("none", 0, 1, .01, 9), ("many", 1, 7, .01, 9), ("far", 1, 1, .2, 9), ("long", 1, 1, .01, 221),
+            ("b", 1, 6, .15, 220), ("c", 2, 3, .15, 9), ("a", 1, 1, .01, 9)]
+    df = spark.createDataFrame(rows, "line_id string, recoveries int, substitutions int, cer double, n_chars int")
+    assert [r["line_id"] for r in reports.readable_recoveries(df).collect()] == ["a", "c", "b"]
