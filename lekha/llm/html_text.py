@@ -10,7 +10,8 @@ rest. Pages are independent, so nothing is shuffled.
 Cases: a null or empty page has no text; unclosed, stray and nested tags are
 read leniently; scripts, styles and comments are skipped even if never
 closed; character references are decoded after the markup is read; repeated
-rows are read each. Other columns are ignored.
+rows are read each; reading takes time in proportion to the page, however
+deep or full of scripts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,94 +37,123 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu",
          "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements whose content is text up to their end tag, whatever it looks like.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 # Elements and name parts that mark boilerplate, and those that mark the article.
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 INSIDE = {"article", "main"}
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|form|header|login|masthead|menu|modal|nav\w*"
-    r"|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe"
-    r"|tags|toolbar|widget)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav\w*"
+    r"|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|sponsor\w*|subscribe"
+    r"|widget)(?:$|[\s_-])", re.I)
+# Names that boilerplate has, but topics and wrappers of the article too: the text itself must speak against them.
+WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:form|social|tags|toolbar)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)  # an article has one too
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
-TEXT_TAGS = {"p": 1.5, "h1": 2.0, "h2": 1.5, "h3": 1.5, "h4": 1.0, "blockquote": 1.5, "pre": 1.5, "li": 0.5, "td": 0.5, "figcaption": 0.5, "dd": 0.5}
+WEAK = 0.25
+TEXT_TAGS = {"p": 1.5, "h1": 2.0, "h2": 1.5, "h3": 1.5, "h4": 1.0, "blockquote": 1.5, "pre": 1.5, "li": 0.5, "td": 1.0, "th": 1.0,
+             "figcaption": 0.5, "dd": 0.5, "dt": 0.5}
 
 
 class Block:
-    __slots__ = ("parts", "linked", "tag", "path", "outside", "inside")
+    """``depth``: open block elements around it; ``shared``: how many of them were open since the block before."""
 
-    def __init__(self, tag: str, path: tuple[int, ...], outside: float, inside: float):
-        self.parts, self.linked, self.tag, self.path, self.outside, self.inside = [], 0, tag, path, outside, inside
+    __slots__ = ("parts", "linked", "tag", "depth", "shared", "outside", "inside")
+
+    def __init__(self, tag: str, depth: int, shared: int, outside: float, inside: float):
+        self.parts, self.linked, self.tag, self.depth, self.shared, self.outside, self.inside = [], 0, tag, depth, shared, outside, inside
+
+
+class Open:
+    """An open element, with what holds for it and all elements around it."""
+
+    __slots__ = ("tag", "block", "depth", "outside", "inside", "article")
+
+    def __init__(self, tag: str, around: Open | None, outside: float, inside: float):
+        self.tag, block = tag, tag in BLOCK
+        self.block = tag if block else around.block if around else "body"
+        self.depth = (around.depth if around else 0) + block
+        self.outside, self.inside = max(outside, around.outside if around else 0.0), max(inside, around.inside if around else 0.0)
+        self.article = tag in INSIDE or around is not None and around.article
 
 
 def blocks_of(page: str) -> list[tuple[Block, str]]:
-    """Blocks with their decoded text, empty ones left out."""
-    stack: list[tuple[str, int, float, float]] = []  # tag, number, marks against and for
-    silent, links, numbers = 0, 0, 0
+    """Blocks with their decoded text, empty ones left out. Time is linear in the page."""
+    stack: list[Open] = []
+    open_tags: Counter[str] = Counter()
+    silent, low, at = 0, 0, 0  # silent elements open; least depth since the last block; place in the page
     out: list[Block] = []
     current: Block | None = None
 
-    def fresh() -> Block:
-        tag = next((t for t, *_ in reversed(stack) if t in BLOCK), "body")
-        path = tuple(n for t, n, *_ in stack if t in BLOCK)
-        return Block(tag, path, max((s[2] for s in stack), default=0.0), max((s[3] for s in stack), default=0.0))
+    def close(down_to: int) -> None:
+        nonlocal silent, low
+        while len(stack) > down_to:
+            tag = stack.pop().tag
+            open_tags[tag] -= 1
+            silent -= tag in SILENT
+        low = min(low, stack[-1].depth if stack else 0)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.match(page, at):
+        at = m.end()
         token, tag = m[0], (m[2] or "").lower()
         if not tag:
-            if token[0] == "<" and len(token) > 1:
-                continue
-            if silent:
+            if token[0] == "<" and len(token) > 1 or silent:
                 continue
             if current is None:
-                current = fresh()
+                top = stack[-1] if stack else Open("body", None, 0.0, 0.0)
+                depth = stack[-1].depth if stack else 0
+                current = Block(top.block, depth, min(low, depth), top.outside, top.inside)
+                low = depth
                 out.append(current)
             current.parts.append(token)
-            if links:
+            if open_tags["a"]:
                 current.linked += len(token)
             continue
-        closing = m[1] == "/"
         if tag == "br" and current is not None:
             current.parts.append(" ")
         if tag in BLOCK:
             current = None
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                gone = [s[0] for s in stack[depth:]]
-                del stack[depth:]
-                silent -= sum(t in SILENT for t in gone)
-                links -= gone.count("a")
+        if m[1] == "/":
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag in VOID or token.endswith("/>"):
             continue
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or tag in BLOCK and stack and stack[-1][0] == "p":
+        if tag in RAW:
+            end = RAW[tag].search(page, at)
+            if end is None and tag in ("script", "style"):
+                break
+            if end is not None:
+                at = end.start()
+                close_at = page.find(">", at)
+                at = len(page) if close_at < 0 else close_at + 1
+            continue
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or tag in BLOCK and stack and stack[-1].tag == "p":
             # These end an open element of their kind, and any block ends a paragraph.
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag or stack[i][0] == "p":
-                    gone = [s[0] for s in stack[i:]]
-                    del stack[i:]
-                    silent -= sum(t in SILENT for t in gone)
-                    links -= gone.count("a")
+                if stack[i].tag == tag or stack[i].tag == "p":
+                    close(i)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].tag in BLOCK:
                     break
         if tag == "body" and silent:  # a head that was never closed
-            stack, silent, links = [], 0, 0
+            close(0)
+        around = stack[-1] if stack else None
         names = " ".join(a or b or c for a, b, c in HINT.findall(m[3])) if m[3] else ""
-        in_article = any(t in INSIDE for t, *_ in stack)
-        bad = 1.0 if tag in OUTSIDE or tag == "header" and not in_article else 0.0
-        if names and BAD_NAME.search(names) and tag not in ("html", "body") and not (tag in INSIDE):
-            bad = 1.0
+        bad = 1.0 if tag in OUTSIDE or tag == "header" and not (around and around.article) else 0.0
+        if names and tag not in ("html", "body") and tag not in INSIDE:
+            spoken = HEADER.sub("", names) if GOOD_NAME.search(names) else names
+            bad = max(bad, 1.0 if BAD_NAME.search(spoken) else WEAK if WEAK_NAME.search(names) else 0.0)
         good = 1.0 if tag in INSIDE else 0.5 if names and GOOD_NAME.search(names) else 0.0
-        numbers += 1
-        stack.append((tag, numbers, bad, good))
+        stack.append(Open(tag, around, bad, good))
+        open_tags[tag] += 1
         silent += tag in SILENT
-        links += tag == "a"
-        if tag in ("script", "style") and "</" + tag not in page[m.end():].lower():
-            break
-    told = []
+    told, shared = [], None
     for b in out:
+        shared = b.shared if shared is None else min(shared, b.shared)
         text = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        if text:
+        if text:  # a blank one between two blocks counts for what both share
+            b.shared, shared = shared, None
             told.append((b, text))
     return told
 
@@ -205,9 +235,7 @@ def content(page: str) -> str:
         flow.edge(n, i, max(score, 0.0), 0.0)
         flow.edge(i, n + 1, max(-score, 0.0), 0.0)
         if i:
-            before = found[i - 1][0].path
-            shared = next((k for k, (x, y) in enumerate(zip(before, b.path)) if x != y), min(len(before), len(b.path)))
-            near = shared / max(1, len(before), len(b.path))
+            near = b.shared / max(1, found[i - 1][0].depth, b.depth)
             flow.edge(i - 1, i, 0.8 * near, 0.8 * near)
     kept = flow.run(n, n + 1)
     return "\n".join(text for (_, text), keep in zip(found, kept) if keep)

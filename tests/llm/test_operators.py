@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -363,6 +364,24 @@ def test_main_text(spark):
     assert got[2]["text"] == "" and got[3]["text"] == "" and got[5]["text"] == "" and len(got) == 6
 
 
+def test_main_text_keeps_articles_whose_names_mislead():
+    kept = "Plato held that forms are more real than the things we see."
+    assert html_text.content(f'<article><div class="story-social-body"><p>{kept}</p></div></article>') == kept
+    assert html_text.content(f'<section id="form"><p>{kept}</p></section>') == kept
+    assert html_text.content(f'<div class="entry-header"><h1>A title</h1></div><p>{kept}</p>') == f"A title\n{kept}"
+    assert html_text.content(f'<div class="site-header"><p>Our site, since 1999.</p></div><p>{kept}</p>') == kept
+    assert html_text.content(f"<p>{kept}</p><table><tr><td>1</td><td>Year</td></tr></table>") == f"{kept}\n1\nYear"
+    assert html_text.content(f"<p>{kept}</p><script>if (a < b) document.write('<article><p>no</p>')</SCRIPT ><p>{kept}</p>") == f"{kept}\n{kept}"
+
+
+@pytest.mark.parametrize("page", ["<p>text of it.</p>" + "<script>x</script>" * 8000, "<script>" * 8000, "<div>" * 4000 + "<p>deep words of it.</p>" * 4000,
+                                  "<div>" * 4000 + "</b>" * 8000, "<textarea>" * 8000 + "<p>"])
+def test_main_text_takes_linear_time(page):
+    start = time.perf_counter()
+    html_text.content(page)
+    assert time.perf_counter() - start < 2
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(30):
