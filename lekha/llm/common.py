@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 # A word is a run of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,8 +92,9 @@ def components(edges: DataFrame, purpose: str, rounds: int = 60) -> DataFrame:
 
     Alternates joining every neighbour and jumping to the label's own label,
     so paths of length n need about log n rounds. Each round is written to the
-    shared folder; the driver sees one count per round.
+    shared folder in place of the one before; the driver sees one count per round.
     """
+    spark = edges.sparkSession
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = stored(both.distinct(), f"{purpose}-links")
     labels = stored(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{purpose}-labels")
@@ -104,7 +105,9 @@ def components(edges: DataFrame, purpose: str, rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("a").alias("new"), F.col("component").alias("further"))
         step = stored(step.join(jump, "new", "left").select(
             "a", "old", F.least("new", F.coalesce("further", "new")).alias("component")), f"{purpose}-labels")
+        discard(spark, labels)
         labels = step.select("a", "component")
         if step.where("old <> component").limit(1).count() == 0:
+            discard(spark, links)
             return labels.withColumnRenamed("a", "node")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

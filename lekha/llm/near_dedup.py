@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .common import components, mixed, pieces, split_words, word_hashes
 
 BINS = 128
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = stored(_remaining(buckets, found, tested, sets, percent), "rest")
     if rest.limit(1).count():
         found = components(links.union(_confirmed(rest, sets, percent)), "minhash")
+    discard(docs.sparkSession, buckets, tested, sets, crowd, rest)
     out = (signed.join(classes.select("set_key", "rep"), "set_key", "left")
            .join(found.withColumnRenamed("node", "rep"), "rep", "left"))
     component = F.least("doc_id", F.coalesce("component", "rep", "doc_id"))
@@ -266,6 +267,7 @@ def _remaining(buckets: DataFrame, found: DataFrame, tested: DataFrame, sets: Da
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     rare = stored(own.mapInArrow(_rarest(spark.sparkContext.broadcast(counts.reshape(-1)), percent),
                                  "token long, rep long, c long, n long, pos int"), "rare")
+    discard(spark, own)
     held = rare.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("held")).where("held > 1")
     shared = stored(rare.join(held.drop("held"), "token"), "shared")
