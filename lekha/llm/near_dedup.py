@@ -271,6 +271,7 @@ def _remaining(buckets: DataFrame, found: DataFrame, tested: DataFrame, sets: Da
     held = rare.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("held")).where("held > 1")
     shared = stored(rare.join(held.drop("held"), "token"), "shared")
+    discard(spark, rare)
     other = shared.select("token", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     apart = F.expr("c <> c2 and (c2 = main or rep < rep2)")
     similar = F.expr(f"least(n - pos, n2 - pos2) * {100 + percent} >= {percent} * (n + n2)")
