@@ -2,9 +2,9 @@
 
 Each shard (a block of neighbouring rows of one input split, about 12 MB of
 text) holds a BM25 inverted index over the words of its documents. A document
-that still has unpacked tokens seeds a window; its nearest unused documents,
-by BM25 score of its most telling words, fill the window greedily, and the
-last one is cut where the window ends. Parts of 2048 tokens are windows of
+that still has unpacked tokens seeds a window. All unused documents that share
+a word with it are candidates, by BM25 score over all its words: the best ones
+that fit whole are taken, and the best one left is cut where the window ends. Parts of 2048 tokens are windows of
 their own. What is left at a shard's end is split at powers of two, so no
 window needs padding. Nothing is shuffled, and a lost task is simply run again.
 
@@ -51,11 +51,15 @@ class Words:
         if ids is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join(self.letters[b] for b in piece.encode()))]
+            # Visible ASCII characters are their own byte letters.
+            spelt = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
             self.known[piece] = ids
         return ids
 
     def ids(self, word: str) -> list[int]:
+        if (seen := self.known.get(word)) is not None:
+            return seen
         m = PLAIN.match(word)
         if m is None:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -87,39 +91,45 @@ def tokenised(texts: pa.Array, path: str, end: int) -> tuple[list[np.ndarray], n
 
 
 class Index:
-    """BM25 postings of one shard."""
+    """BM25 postings of one shard, of every word that two of its documents share."""
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, k1: float = 1.2, b: float = 0.75):
         docs, n = len(starts) - 1, np.diff(starts)
-        if not len(words):
-            self.doc_terms = [np.zeros(0, np.int64)] * docs
-            return
-        pair, tf = np.unique(np.repeat(np.arange(docs), n) * (int(words.max()) + 1) + words, return_counts=True)
-        doc, term = pair // (int(words.max()) + 1), pair % (int(words.max()) + 1)
-        df = np.bincount(term)
-        # A word of one document finds nobody; one of every tenth document tells little.
-        useful = (df[term] > 1) & (df[term] <= max(2, docs // 10))
+        most = int(words.max()) + 1 if len(words) else 1
+        pair, tf = np.unique(np.repeat(np.arange(docs), n) * most + words, return_counts=True)
+        doc, term = pair // most, pair % most
+        df = np.bincount(term, minlength=most)
+        useful = df[term] > 1  # a word of one document finds nobody
         doc, term, tf = doc[useful], term[useful], tf[useful]
         idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / max(1.0, n.mean())))
-        by_doc = np.lexsort((-weight, doc))
-        bounds = np.searchsorted(doc[by_doc], np.arange(docs + 1))
-        self.doc_terms = [term[by_doc[i:j]][:16] for i, j in zip(bounds[:-1], bounds[1:])]
+        self.terms, self.doc_bounds = term, np.searchsorted(doc, np.arange(docs + 1))
         by_term = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
-        self.bounds = np.searchsorted(term[by_term], np.arange(len(df) + 1))
-
-    def nearest(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a telling word with the seed, best first."""
-        terms = self.doc_terms[seed]
+        self.term, self.doc, self.weight = term[by_term], doc[by_term], weight[by_term]
+        self.bounds, self.listed = self._bounds(most), docs
+
+    def _bounds(self, most: int) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=most))])
+
+    def _forget(self, unused: np.ndarray) -> None:
+        """Drop the postings of packed documents, once an eighth of the listed documents is packed."""
+        left = int(unused.sum())
+        if left * 8 <= self.listed * 7:
+            keep = unused[self.doc]
+            self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
+            self.bounds, self.listed = self._bounds(len(self.bounds) - 1), left
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 score of every unused document for all words of the seed; 0 where they share none."""
+        self._forget(unused)
+        terms = self.terms[self.doc_bounds[seed]:self.doc_bounds[seed + 1]]
         if not len(terms):
-            return np.zeros(0, np.int64)
-        runs = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms]
+            return np.zeros(len(unused))
+        runs = [slice(i, j) for i, j in zip(self.bounds[terms], self.bounds[terms + 1])]
         doc = np.concatenate([self.doc[r] for r in runs])
         score = np.bincount(doc, np.concatenate([self.weight[r] for r in runs]), len(unused))
         score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return score
 
 
 def packed(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
@@ -138,22 +148,22 @@ def packed(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int,
         def take(d: int) -> None:
             nonlocal room
             n = min(room, int(sizes[d] - at[d]))
-            parts.append((d, int(at[d]), n))
+            parts.append((int(d), int(at[d]), n))
             at[d] += n
             room -= n
             unused[d] = at[d] < sizes[d]
 
         take(first)
         if room:
-            near = index.nearest(parts[0][0], unused)
-            for d in near[:32]:
-                if sizes[d] - at[d] <= room:
-                    take(d)
-            for d in near:
-                if not room:
-                    break
-                if unused[d]:
-                    take(d)
+            score = index.scores(first, unused)
+            near = np.flatnonzero(score)
+            score, left = score[near], (sizes - at)[near]
+            while (fits := left <= room).any():
+                best = int(np.argmax(np.where(fits, score, 0)))
+                take(near[best])
+                score[best], left[best] = 0, window + 1
+            if room and score.any():
+                take(near[np.argmax(score)])
         d = first
         while room and d < len(sizes):
             if unused[d]:

@@ -176,6 +176,51 @@ def test_pack(spark, corpus):
         assert at <= 256 and at & (at - 1) == 0
 
 
+def test_windows_are_filled_from_all_documents_by_all_words():
+    """Every window against a plain pass: no word too common, no partner too far down the list."""
+    rng = np.random.default_rng(11)
+    common = 1 / np.arange(1, 61)
+    texts = [rng.choice(60, rng.integers(1, 50), p=common / common.sum()) for _ in range(150)]
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = packing.packed(sizes, packing.Index(np.concatenate(texts), starts), 200)
+
+    df, mean = collections.Counter(w for t in texts for w in set(t)), np.mean([len(t) for t in texts])
+
+    def score(a, d):
+        tf = collections.Counter(texts[d])
+        return sum(np.log(1 + (150 - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(texts[d]) / mean))
+                   for w in sorted(set(texts[a])))
+
+    left, at, want = {d: int(n) for d, n in enumerate(sizes)}, collections.Counter(), []
+    while left:
+        seed = min(left)
+        room, window = 200, []
+
+        def take(d):
+            nonlocal room
+            n = min(room, left[d])
+            window.append((d, at[d], n))
+            room -= n
+            at[d] += n
+            left[d] -= n
+            if not left[d]:
+                del left[d]
+
+        take(seed)
+        ranked = sorted((d for d in left if score(seed, d) > 0), key=lambda d: -score(seed, d))
+        for fits in (True, False):
+            for d in ranked:
+                if room and d in left and (not fits or left[d] <= room):
+                    take(d)
+        for d in sorted(left):
+            if room:
+                take(d)
+        want.append((room, window))
+    assert got[:len(want) - 1] == [w for room, w in want if not room]
+    assert [p[:2] for p in got[len(want) - 1]][:1] == [p[:2] for p in want[-1][1]][:1]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []
