@@ -122,7 +122,7 @@ def pattern_report(df: DataFrame, text: str, rules: dict[str, str], group: Seque
     sums = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars"),
         *[F.sum(F.regexp_count(text, F.lit(rules[r]))).alias(f"f{i}") for i, r in enumerate(names)],
-        *[F.count_if(F.col(text).rlike(rules[r])).alias(f"l{i}") for i, r in enumerate(names)],
+        *[F.count_if(F.regexp_count(text, F.lit(rules[r])) > 0).alias(f"l{i}") for i, r in enumerate(names)],
     )
     rows = F.array(*[F.struct(
         F.lit(r).alias("rule"), F.col(f"f{i}").alias("firings"), F.col(f"l{i}").alias("lines"),

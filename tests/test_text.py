@@ -1,9 +1,13 @@
 """Cleaning, codec, transliteration and respelling on invented strings."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lekha.functions import charvocab, codec, nfc, spelling, text, translit
+from lekha.functions import charvocab, codec, nfc, spelling, text, translit, wordwise
 from lekha.functions.expr import strip, word_count
 
 
@@ -173,3 +177,48 @@ def test_character_vocabulary(spark):
     got = spark.sql("SELECT array(1, 5, 0, 4, 3, 2, 5) AS ids").select(charvocab.decode_ids("ids", names)).first()[0]
     assert got == "ba<unk>"
     assert one(spark, "aéa", text.missing_chars("t", F.array(F.lit("a")))) == ["é"]
+
+
+def test_words_are_rewritten_once_and_nulls_stay():
+    texts, seen = pa.array(["b a  a", None, "", " a\nb", "a b"] * 50), []
+
+    def rule(words):
+        seen.append(words)
+        return words.upper()
+
+    assert wordwise.rewrite(texts, rule).to_pylist() == ["B A  A", None, "", " A\nB", "A B"] * 50
+    assert len(seen) == 1 and sorted(seen[0].split(" ")) == ["", "a", "a\nb", "b"]
+    assert wordwise.rewrite(texts, rule, bad="^a$").to_pylist()[:5] == [None, None, "", " A\nB", None]
+    assert wordwise.rewrite(texts.slice(3, 1), rule, full=True).to_pylist() == ["A B"]
+    assert wordwise.rewrite(texts.slice(0, 0), rule).to_pylist() == []
+
+
+def test_word_rules_equal_the_scan_of_whole_texts(spark):
+    """Random texts against the rules as regexes over whole texts."""
+    rng = random.Random(3)
+    typed = ["".join(rng.choice("kkhgCTrYlaAaiiueoRqMH19| \n|.~N-ಕಾಿ್é") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    cons = "[" + "".join(translit._CONS) + "]"
+    vowels = "[" + "".join(translit._VOWEL_CODE.values()) + "]"
+    signs = "".join(filter(None, translit.MATRA_OF.values()))
+
+    def by_scan(t):
+        for k in translit._LONG_CONSONANTS:
+            t = t.replace(k, translit._CONSONANT_CODE[translit.CONSONANTS[k]])
+        t = re.sub("|".join(translit._LONG_VOWELS), lambda m: translit._VOWEL_CODE[translit.VOWELS[m[0]]], t)
+        t = re.sub(f"(?<={cons})(?={vowels})", "\x04", t)
+        for v, code in translit._VOWEL_CODE.items():
+            if v != "ಅ":
+                t = t.replace("\x04" + code, translit.MATRA_OF[v])
+        t = re.sub(f"(?<={cons})(?![\x04q{signs}])", "್", t)
+        t = re.sub(f"(?<={cons})q", "್", t)
+        return t.replace("\x04a", "").replace("||", "॥").translate(str.maketrans(translit._FINAL))
+
+    rows = spark.createDataFrame(list(enumerate(typed)), "i int, t string").repartition(3)
+    got = rows.select("i", translit.to_kannada("t").alias("k")).select("i", "k", text.clean_manuscript("k").alias("c"))
+    got = got.select("*", codec.decode_packed(codec.encode_packed("c", digits=True)).alias("d"), codec.encodable("c", True).alias("e"))
+    for r in got.collect():
+        assert r["k"] == by_scan(typed[r["i"]])
+        gone = r["k"].replace("||", "॥").replace("|", "।")
+        assert r["c"] == " ".join(re.sub("[a-zA-Z0-9.-]", " ", gone).split())
+        assert (r["d"] is not None) == r["e"]
+        assert r["d"] is None or r["d"] == re.sub("್([ಅ-ಔ])", lambda m: translit.MATRA_OF[m[1]], r["c"])
