@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lekha.functions import charvocab, codec, nfc, spelling, text, translit, wordwise
+from lekha.functions import charvocab, codec, metrics, nfc, spelling, text, translit, wordwise
 from lekha.functions.expr import strip, word_count
 
 
@@ -222,3 +222,29 @@ def test_word_rules_equal_the_scan_of_whole_texts(spark):
         assert r["c"] == " ".join(re.sub("[a-zA-Z0-9.-]", " ", gone).split())
         assert (r["d"] is not None) == r["e"]
         assert r["d"] is None or r["d"] == re.sub("್([ಅ-ಔ])", lambda m: translit.MATRA_OF[m[1]], r["c"])
+
+
+def test_bit_distance_equals_the_table(spark):
+    rng = random.Random(5)
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    word = lambda: "".join(rng.choice("abé𝒳") for _ in range(rng.randint(0, 90)))
+    pairs = [(word(), word()) for _ in range(400)] + [("", ""), ("", "ab"), ("a" * 3000, "a" * 2999 + "b")]
+    for a, b in pairs[:-1]:
+        assert metrics.distance(a, b) == table(a, b)
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    for r in rows.select("a", "b", metrics.agreement_cer("a", "b").alias("d"), metrics.agreement_within("a", "b", 0.35).alias("w")).collect():
+        if r["a"] is None or r["b"] is None:
+            assert r["d"] is None
+            continue
+        n = max(len(r["a"]), len(r["b"]))
+        d = metrics.distance(r["a"], r["b"])
+        assert r["d"] == (d / n if n else 0) and r["w"] == (r["d"] if d <= int(n * 0.35) else 1)
