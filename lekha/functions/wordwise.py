@@ -7,7 +7,8 @@ spaces, its distinct words are rewritten and put back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,16 @@ def after(text: str, letters: Iterable[str], mark: str) -> str:
     return text
 
 
-def _rewritten(texts: pa.Array, rule: Callable[[str], str], space: str, joint: str, bad: str | None, full: bool) -> pa.Array:
+def _words(texts: pa.Array, space: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the number of every word that occurs, and where each text's words start."""
     lists = pc.split_pattern(texts, space)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets -= offsets[0]
-    old, index = words.dictionary, words.indices.to_numpy()
+    return words.dictionary, words.indices.to_numpy(), offsets - offsets[0]
+
+
+def _rewritten(texts: pa.Array, rule: Callable[[str], str], space: str, joint: str, bad: str | None, full: bool) -> pa.Array:
+    old, index, offsets = _words(texts, space)
     null = pc.is_null(texts).to_numpy(zero_copy_only=False)
 
     def before(flags: pa.Array) -> np.ndarray:
@@ -77,3 +82,23 @@ def rewrite(texts: pa.Array, rule: Callable[[str], str], space: str = " ", joint
     """
     parts = [_rewritten(part.cast(pa.string()), rule, space, joint, bad, full) for part in _slices(texts)]
     return pa.concat_arrays(parts).cast(texts.type) if parts else texts
+
+
+def _counted(texts: pa.Array, rules: Sequence[re.Pattern], space: str) -> pa.Array:
+    words, index, offsets = _words(texts, space)
+    sums = np.zeros((len(texts), len(rules)), np.int32)
+    ends = np.cumsum(pc.utf8_length(words).to_numpy().astype(np.int64) + 1)
+    together = space.join(words.to_pylist())
+    for k, rule in enumerate(rules):
+        places = np.fromiter((m.start() for m in rule.finditer(together)), np.int64)
+        each = np.bincount(np.searchsorted(ends, places, side="right"), minlength=len(words))
+        sums[:, k] = np.diff(np.concatenate([[0], np.cumsum(each[index])])[offsets])
+    starts = pa.array(np.arange(len(texts) + 1) * len(rules), pa.int32())
+    lists = pa.ListArray.from_arrays(starts, pa.array(sums.reshape(-1)))
+    return pc.if_else(pc.is_null(texts), pa.scalar(None, lists.type), lists)
+
+
+def count(texts: pa.Array, rules: Sequence[re.Pattern], space: str = " ") -> pa.Array:
+    """How often each rule matches in each text; a rule never matches a ``space``, one character, and looks past none. A null text has null."""
+    parts = [_counted(part.cast(pa.string()), rules, space) for part in _slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))

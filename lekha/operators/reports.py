@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import words
-from ..functions.spelling import ANUSVARA, ARCHAIC_SWAPS, NASAL_BEFORE, swap_sites
+from ..functions.expr import once, words
+from ..functions.spelling import count_sites, rule_sites
 from ..functions.text import count_of, repetition_rate
 from .ranking import exact_percentiles, with_rank
 from .scoring import gram_sums
@@ -111,18 +111,20 @@ def repetition_report(df: DataFrame, text: str, group: Sequence[str] = ()) -> Da
 
 def rule_firings(df: DataFrame, text: str) -> DataFrame:
     """Per respelling rule: sites where it can fire and lines having one."""
-    rules = {f"nasal {nasal}": f"{ANUSVARA}(?=[{stops}])" for stops, nasal in NASAL_BEFORE.items()}
-    rules |= {f"{old}->{new}": swap_sites(old) for old, new in ARCHAIC_SWAPS}
-    return pattern_report(df, text, rules)
+    return _firing_report(df, text, list(rule_sites()), count_sites(text))
 
 
 def pattern_report(df: DataFrame, text: str, rules: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
     """Per named pattern: matches, lines with a match, share of characters and lines."""
-    names = list(rules)
-    sums = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars"),
-        *[F.sum(F.regexp_count(text, F.lit(rules[r]))).alias(f"f{i}") for i, r in enumerate(names)],
-        *[F.count_if(F.regexp_count(text, F.lit(rules[r])) > 0).alias(f"l{i}") for i, r in enumerate(names)],
+    return _firing_report(df, text, list(rules), F.array(*[F.regexp_count(text, F.lit(r)) for r in rules.values()]), group)
+
+
+def _firing_report(df: DataFrame, text: str, names: list[str], counts: Column, group: Sequence[str] = ()) -> DataFrame:
+    """The report on each line's ``counts``, one per name."""
+    sums = once(df, group, chars=F.char_length(text), counts=counts).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"),
+        *[F.sum(F.get("counts", F.lit(i))).alias(f"f{i}") for i in range(len(names))],
+        *[F.count_if(F.get("counts", F.lit(i)) > 0).alias(f"l{i}") for i in range(len(names))],
     )
     rows = F.array(*[F.struct(
         F.lit(r).alias("rule"), F.col(f"f{i}").alias("firings"), F.col(f"l{i}").alias("lines"),

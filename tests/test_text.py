@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lekha.functions import charvocab, codec, metrics, nfc, spelling, text, translit, wordwise
 from lekha.functions.expr import strip, word_count
+from lekha.operators import reports
 
 
 def one(spark, value, column):
@@ -248,3 +249,27 @@ def test_bit_distance_equals_the_table(spark):
         n = max(len(r["a"]), len(r["b"]))
         d = metrics.distance(r["a"], r["b"])
         assert r["d"] == (d / n if n else 0) and r["w"] == (r["d"] if d <= int(n * 0.35) else 1)
+
+
+def test_sites_are_counted_once_per_distinct_word(spark):
+    """Random texts against the rules as regexes over whole texts; a repeated word is scanned once."""
+    rng = random.Random(5)
+    rules = spelling.rule_sites()
+    texts = ["".join(rng.choice("ರಳಂಕಚಟತಪಾಿಅ \n🙂") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").repartition(3)
+    got = {r["i"]: r["n"] for r in rows.select("i", spelling.count_sites("t").alias("n")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: [len(re.findall(site, t)) for site in rules.values()] for i, t in enumerate(texts)}
+    report = {r["rule"]: (r["firings"], r["lines"]) for r in reports.rule_firings(rows, "t").collect()}
+    assert report == {rule: (sum(n[k] for n in got.values()), sum(n[k] > 0 for n in got.values())) for k, rule in enumerate(rules)}
+
+    class Rule:
+        seen = []
+
+        def finditer(self, text):
+            self.seen.append(text)
+            return re.finditer("a", text)
+
+    assert wordwise.count(pa.array(["ab a", None, "", "a ab ab"] * 40), [Rule()]).to_pylist()[:4] == [[2], None, [0], [3]]
+    assert len(Rule.seen) == 1 and sorted(Rule.seen[0].split(" ")) == ["", "a", "ab"]
+    assert wordwise.count(pa.array([], pa.string()), [Rule()]).to_pylist() == []
