@@ -21,10 +21,12 @@ def old_lines(verses: DataFrame) -> DataFrame:
 
 def verse_pairs(verses: DataFrame) -> DataFrame:
     """(verse_id, old_text, modern_text): the shortest interpretation as modern side."""
-    given = once(
-        verses.where(F.size("interpretations") > 0).withColumnRenamed("id", "verse_id"), ["verse_id"],
-        old_text=_old_side("verse"), modern_text=text.clean_modern(text.shortest_reading("interpretations")))
-    return given.where(text.usable_length("old_text") & (F.col("modern_text") != "") & codec.round_trips("old_text"))
+    given = verses.where(F.size("interpretations") > 0).withColumnRenamed("id", "verse_id")
+    old = once(given, ["verse_id", "interpretations"], old_text=_old_side("verse"))
+    usable = old.where(text.usable_length("old_text") & codec.round_trips("old_text"))
+    # Most verses are too long; only the others' readings are counted and cleaned.
+    both = once(usable, ["verse_id", "old_text"], modern_text=text.clean_modern(text.shortest_reading("interpretations")))
+    return both.where("modern_text <> ''")
 
 
 def rule_pairs(verses: DataFrame, rate: float = spelling.SWAP_RATE, seed: int = 0) -> DataFrame:

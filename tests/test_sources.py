@@ -220,3 +220,13 @@ def test_corpus_builds(spark):
     fates = {r["fate"]: r["n"] for r in corpus.corpus_funnel(verses).collect()}
     assert fates == {"kept": 2, "empty": 1, "ambiguous": 1}
     assert codec.KANNADA.virama == "್"
+
+
+def test_readings_of_unusable_verses_are_not_cleaned(spark, monkeypatch):
+    def strict(reading):
+        return F.when(reading.contains("never"), F.raise_error(F.lit("a reading was cleaned for nothing")).cast("string")).otherwise(reading)
+
+    monkeypatch.setattr(corpus.text, "clean_modern", strict)
+    verses = spark.createDataFrame([(1, "ಮನೆ", {"i": "ಒಂದು"}), (2, "ಮ" * 701, {"i": "never"}), (3, "ಕ್ಅ", {"i": "never"})],
+                                   "id long, verse string, interpretations map<string,string>")
+    assert [tuple(r) for r in corpus.verse_pairs(verses).collect()] == [(1, "ಮನೆ", "ಒಂದು")]
