@@ -16,12 +16,13 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,12 @@ from .common import pieces, split_words
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # Words made of Latin letters and a tail of marks: the tokenizer parts them
 # there, whatever stands around them. All other words go to it whole.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$"
 
 
 class Words:
-    """Token ids of words, each distinct word cut once while memory for it lasts."""
+    """Token ids of words, each distinct core, tail or other word cut once while memory for it lasts."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -57,15 +59,47 @@ class Words:
             self.known[piece] = ids
         return ids
 
-    def ids(self, word: str) -> list[int]:
-        if (seen := self.known.get(word)) is not None:
-            return seen
-        m = PLAIN.match(word)
-        if m is None:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        core, tail = m.groups()
-        out = self._piece(core.lower()) if core else []
-        return out + self._piece(tail) if tail else out
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words behind one another, and how many each has."""
+        core = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(core, LETTERS)
+        tail = _rest(words, core)
+        none = pa.scalar("")
+        parts = [(pc.utf8_lower(pc.if_else(plain, core, none)), self._piece), (pc.if_else(plain, tail, none), self._piece),
+                 (pc.if_else(plain, none, words), self._whole)]
+        lists, each, index = [], [], []
+        for texts, cut in parts:
+            coded = texts.dictionary_encode()
+            index.append(coded.indices.to_numpy().astype(np.int64) + len(each))
+            own = [cut(w) if w else [] for w in coded.dictionary.to_pylist()]
+            each += map(len, own)
+            lists += own
+        each = np.array(each, np.int64)
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(each.sum()))
+        index = np.column_stack(index)
+        return flat[_places(index.reshape(-1), np.cumsum(each) - each, each)], each[index].sum(axis=1)
+
+
+def _rest(words: pa.Array, start: pa.Array) -> pa.Array:
+    """What follows the start of each word."""
+    words, start = words.cast(pa.large_string()), start.cast(pa.large_string())
+    _, bounds, data = words.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[words.offset:words.offset + len(words) + 1]
+    n = pc.binary_length(start).to_numpy()
+    size = np.diff(bounds) - n
+    at = np.repeat(bounds[:-1] + n - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    ends = np.concatenate([[0], np.cumsum(size)])
+    rest = np.frombuffer(data, np.uint8)[at] if data is not None else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(rest)]).cast(pa.string())
+
+
+def _places(index: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the items of the lists with these numbers stand, by where every list begins and its size."""
+    n = sizes[index]
+    return np.repeat(begin[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 _WORDS: dict[str, Words] = {}
@@ -76,17 +110,12 @@ def tokenised(texts: pa.Array, path: str, end: int) -> tuple[list[np.ndarray], n
     known = _WORDS.setdefault(path, None) or Words(path)
     _WORDS[path] = known
     words, starts = split_words(texts)
-    per_word = [known.ids(w) for w in words.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-    flat = np.fromiter((i for ids in per_word for i in ids), np.uint32, int(sizes.sum()))
+    flat, sizes = known.ids(words.dictionary)
     begin = np.cumsum(sizes) - sizes
     index = words.indices.to_numpy().astype(np.int64)
     out = []
     for a, b in zip(starts[:-1], starts[1:]):
-        w = index[a:b]
-        n = sizes[w]
-        at = np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out.append(np.append(flat[at], np.uint32(end)))
+        out.append(np.append(flat[_places(index[a:b], begin, sizes)], np.uint32(end)))
     return out, index, starts
 
 
@@ -158,10 +187,12 @@ def packed(sizes: np.ndarray, index: Index, window: int) -> list[list[tuple[int,
             score = index.scores(first, unused)
             near = np.flatnonzero(score)
             score, left = score[near], (sizes - at)[near]
-            while (fits := left <= room).any():
-                best = int(np.argmax(np.where(fits, score, 0)))
+            fits = np.flatnonzero(left <= room)  # room only shrinks: what does not fit now never will
+            while len(fits):
+                best = fits[np.argmax(score[fits])]
                 take(near[best])
-                score[best], left[best] = 0, window + 1
+                score[best] = 0
+                fits = fits[(left[fits] <= room) & (fits != best)]
             if room and score.any():
                 take(near[np.argmax(score)])
         d = first

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -487,3 +488,18 @@ def test_near_dedup_stage_keeps_rows_without_id(spark, corpus):
     assert got.columns == DOCS.names
     own = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
     assert own == collections.Counter((i, t) for i, t, _ in rows if i in kept) and sum(n for (i, _), n in own.items() if i is None) == 3
+
+
+def test_token_ids_of_words_cut_once_per_core_and_tail(monkeypatch):
+    """Ids equal the tokenizer's for whole texts; words that differ by case or marks share their cuts."""
+    words = packing.Words(tokenizer_path())
+    cut = []
+    real = packing.Words._piece
+    monkeypatch.setattr(packing.Words, "_piece", lambda self, piece: cut.append(piece) or real(self, piece))
+    texts = ["House", "house,", "HOUSE,", "don't", "x'", "''", "...", "Ärger!?", "ßÞ", "a1b2", "ಕನ್ನಡ.", "🙂,", "end'.", "É", "_"]
+    flat, sizes = words.ids(pa.array(["skipped", *texts]).slice(1))
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert cut.count("house") == 1 and cut.count(",") == 1
+    flat, sizes = words.ids(pa.array([], pa.string()))
+    assert len(flat) == len(sizes) == 0
