@@ -2,12 +2,14 @@
 
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lekha import session
 from lekha.functions import codec
 from lekha.operators import images, ml
 from lekha.plans import corpus
@@ -230,3 +232,23 @@ def test_readings_of_unusable_verses_are_not_cleaned(spark, monkeypatch):
     verses = spark.createDataFrame([(1, "ಮನೆ", {"i": "ಒಂದು"}), (2, "ಮ" * 701, {"i": "never"}), (3, "ಕ್ಅ", {"i": "never"})],
                                    "id long, verse string, interpretations map<string,string>")
     assert [tuple(r) for r in corpus.verse_pairs(verses).collect()] == [(1, "ಮನೆ", "ಒಂದು")]
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    kept = session.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    deadline = time.time() + 10
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.count() == 7 and spark.conf.get(session.CLEANUP, None) is None
+    spark.conf.set(session.CLEANUP, "false")
+    session.stored(spark.range(3), "few")
+    assert spark.conf.get(session.CLEANUP) == "false"
+    spark.conf.unset(session.CLEANUP)
