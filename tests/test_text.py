@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lekha.functions import charvocab, codec, metrics, nfc, spelling, text, translit, wordwise
+from lekha.functions import charvocab, codec, metrics, nfc, pointwise, spelling, text, translit, wordwise
 from lekha.functions.expr import strip, word_count
 from lekha.operators import reports
+from lekha.plans import catalog
 
 
 def one(spark, value, column):
@@ -273,3 +274,36 @@ def test_sites_are_counted_once_per_distinct_word(spark):
     assert wordwise.count(pa.array(["ab a", None, "", "a ab ab"] * 40), [Rule()]).to_pylist()[:4] == [[2], None, [0], [3]]
     assert len(Rule.seen) == 1 and sorted(Rule.seen[0].split(" ")) == ["", "a", "ab"]
     assert wordwise.count(pa.array([], pa.string()), [Rule()]).to_pylist() == []
+
+
+def test_rules_on_code_points_see_one_text_at_a_time(monkeypatch):
+    """Random texts in small pieces and in one: each as if it stood alone; null, empty and void texts keep their places."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("khNaaiiuq| .9ಕಾ್ಂರ\x00\x05\u200d😀") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    texts[3:3] = [None, "", "k", "q", "ಂ", "ಕ", "|", "|", "c", "hh", " ", "k" * 300]
+    rules = {"typed": translit.typing(), "cleaned": text.cleaning(), "coded": codec._encoding(True, codec.KANNADA)}
+    for rule in rules.values():
+        alone = [pointwise.rewrite(pa.array([t], pa.string()), rule)[0].as_py() for t in texts]
+        assert alone[3] is None and alone[4] == ""
+        for piece in (1, 64, 1 << 18):
+            monkeypatch.setattr(pointwise, "PIECE", piece)
+            assert pointwise.rewrite(pa.array(texts), rule).to_pylist() == alone
+    both = pointwise.rewrite(pa.array(texts), rules["typed"], rules["cleaned"])
+    assert both.equals(pointwise.rewrite(pointwise.rewrite(pa.array(texts), rules["typed"]), rules["cleaned"]))
+    assert pointwise.rewrite(pa.array([], pa.string()), rules["typed"]).to_pylist() == []
+
+
+def test_control_and_private_characters_stay_as_typed(spark):
+    for c in "\x03\x04\x05\x06\ue100":
+        assert one(spark, f"k{c}a", translit.to_kannada("t")) == f"ಕ್{c}ಅ"
+
+
+def _python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def test_encoding_a_text_is_one_pass_of_a_worker(spark):
+    """Typing, cleaning, encoding and naming share a worker; no lambda walks the symbols one by one."""
+    df = catalog.QUERIES["b8_encode"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert _python_steps(df) == 1 and "lambda" not in plan
