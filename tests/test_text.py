@@ -281,7 +281,7 @@ def test_rules_on_code_points_see_one_text_at_a_time(monkeypatch):
     rng = random.Random(7)
     texts = ["".join(rng.choice("khNaaiiuq| .9ಕಾ್ಂರ\x00\x05\u200d😀") for _ in range(rng.randint(0, 12))) for _ in range(500)]
     texts[3:3] = [None, "", "k", "q", "ಂ", "ಕ", "|", "|", "c", "hh", " ", "k" * 300]
-    rules = {"typed": translit.typing(), "cleaned": text.cleaning(), "coded": codec._encoding(True, codec.KANNADA)}
+    rules = {"typed": translit.typing(), "cleaned": text.cleaning(), "nasals": spelling._nasals(), "coded": codec._encoding(True, codec.KANNADA)}
     for rule in rules.values():
         alone = [pointwise.rewrite(pa.array([t], pa.string()), rule)[0].as_py() for t in texts]
         assert alone[3] is None and alone[4] == ""
