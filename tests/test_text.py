@@ -307,3 +307,8 @@ def test_encoding_a_text_is_one_pass_of_a_worker(spark):
     df = catalog.QUERIES["b8_encode"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert _python_steps(df) == 1 and "lambda" not in plan
+
+
+def test_symbol_indices_go_straight_into_the_explode(spark):
+    plan = catalog.QUERIES["b13_symbol_indices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(" in plan and "inline(" not in plan and "lambda" not in plan
