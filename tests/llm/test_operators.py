@@ -341,6 +341,41 @@ def test_line_links_equal_brute_force(spark, monkeypatch, crowd):
     assert len(links) > 40 and got == {k: "" if want[k] == k else "0" for k in want}
 
 
+def test_line_buckets_keep_what_can_meet(spark, monkeypatch):
+    """Only fingerprints that meet a fitting length in their bucket go on, and no near pair of fitting lengths is lost, in crowded cells or others."""
+    rng = random.Random(5)
+    sims = []
+    for _ in range(60):
+        sims += [base := rng.getrandbits(64), base ^ (1 << rng.randrange(64)), base ^ sum(1 << b for b in rng.sample(range(64), 3))]
+    rows = [(h, sim - (1 << 64) if sim >> 63 else sim, rng.randrange(40, 90)) for h, sim in enumerate(sims)]
+    rows += [(1000, 1 << 40, 10), (1001, 3 << 40, 13), (1002, 1, 80), (1003, 2, 100), (1004, 4, 125), (1005, 8, 157)]
+    classes = spark.createDataFrame(rows, "h long, sim long, chars int")
+    want = {(min(s, t), max(s, t)) for _, s, a in rows for _, t, b in rows
+            if s != t and bin((s ^ t) & (2 ** 64 - 1)).count("1") <= 3 and 100 * min(a, b) >= 80 * max(a, b)}
+    slots = line_dedup._slots(classes)
+    left = {r["sim"] for r in slots.collect()}
+    assert not left & {1 << 40, 3 << 40, 8} and {s for pair in want for s in pair} <= left
+    cells = line_dedup._cells(slots)[0].select("key", "band").distinct()
+    assert {tuple(r) for r in line_dedup._met(slots, cells.limit(0)).collect()} == want
+    apart = classes.groupBy("sim").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    assert {tuple(r) for r in line_dedup._crowds(slots, cells, apart).collect()} == want
+
+
+def test_line_heads_reject_no_like_pair(spark):
+    """The edit similarity is decided as by the plain distance, with lengths that differ and edits at one end."""
+    rng = random.Random(8)
+    pairs = []
+    for n in range(300):
+        s = sentence(rng, 60)
+        cut = rng.randrange(len(s) // 3)
+        t = rng.choice([s[cut:], s[:len(s) - cut], s[cut:] + s[:cut], sentence(rng, 60)[:cut] + s[cut:], s[:-cut or None] + sentence(rng, 60)[:cut], sentence(rng, 60)])
+        pairs.append((n, n, *((s, t) if n % 2 else (t, s))))
+    df = spark.createDataFrame(pairs, "a int, b int, s string, t string")
+    most = F.floor(F.greatest(F.char_length("s"), F.char_length("t")) * 0.2 + 1e-6)
+    want = {r["a"] for r in df.where(F.levenshtein("s", "t") <= most).collect()}
+    assert 50 < len(want) < 250 and {r["a"] for r in line_dedup._alike(df).collect()} == want
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(4)
     rows = [(n, " ".join(sentence(rng, 1) for _ in range(n))) for n in (5, 6, 127, 128, 300)]
