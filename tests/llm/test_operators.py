@@ -376,6 +376,26 @@ def test_line_heads_reject_no_like_pair(spark):
     assert 50 < len(want) < 250 and {r["a"] for r in line_dedup._alike(df).collect()} == want
 
 
+def test_line_pieces_bound_and_settle(spark):
+    """Cutting into pieces never says less than the edit distance and settles nearly all like pairs; odd lengths and letters included."""
+    rng = random.Random(13)
+    pairs = [(0, 0, "", "abc"), (1, 1, "abc", ""), (2, 2, "é" * 64, "é" * 64), (3, 3, "x" * 65, "x" * 63), (4, 4, "", "")]
+    for n in range(5, 205):
+        words = sentence(rng, rng.randrange(20, 400)).split(" ")
+        other = list(words)
+        for _ in range(len(words) // 12):
+            at = rng.randrange(len(other))
+            other[at:at + 1] = rng.choice([[], [sentence(rng, 1)], [other[at], "größe"]])
+        pairs.append((n, n, " ".join(words), " ".join(other)))
+    df = spark.createDataFrame(pairs, "a int, b int, s string, t string").withColumn(
+        "most", F.floor(F.greatest(F.char_length("s"), F.char_length("t")) * 0.2 + 1e-6).cast("int"))
+    got = df.select("a", "most", F.levenshtein("s", "t").alias("least"), line_dedup._piecewise("s", "t", "most").alias("cost")).collect()
+    assert all(r["cost"] >= min(r["least"], r["most"] + 1) for r in got)
+    like = [r for r in got if r["least"] <= r["most"]]
+    assert len(like) > 195 and sum(r["cost"] <= r["most"] for r in like) > 0.95 * len(like)
+    assert {r["a"] for r in line_dedup._alike(df.drop("most")).collect()} == {r["a"] for r in like}
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(4)
     rows = [(n, " ".join(sentence(rng, 1) for _ in range(n))) for n in (5, 6, 127, 128, 300)]
