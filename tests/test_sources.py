@@ -169,6 +169,23 @@ def test_image_tree(spark, tmp_path):
     assert sorted(r["path"].split("/tree/")[1] for r in found.collect()) == ["a/b/y.PNG", "a/x.jpg", "v.tiff"]
 
 
+def test_image_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Same rows as Spark's file source, without a scan that plans a split for every file."""
+    monkeypatch.setattr(readers, "_AT_ONCE", 7, raising=False)
+    names = [f"a/b{n % 3}/c d/{n}{s}.jpg" for n in range(20) for s in ("", "#1", "%20", "ü")] + [
+        "_metadata.png", "_metadata1/w.jpg", "_x.jpg", ".y.jpg", "_t/z.jpg", "_k=1/z.jpg", ".h/z.jpg", "a/u._COPYING_", "q/ground_truth/x.jpg", "e.txt"]
+    sinks.write_files(spark.createDataFrame([(n, b"12") for n in names] + [("a/none.jpg", b"")], "path string, content binary"), str(tmp_path / "tree"))
+    (tmp_path / "tree" / "bare").mkdir()
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "tree"))
+    want = readers.image_paths(source.select("path", "length", "modificationTime"))
+    for root in (str(tmp_path / "tree"), f"file://{tmp_path}/tree/", f"file:{tmp_path}/tree"):
+        found = readers.list_images(spark, root)
+        assert found.rdd.getNumPartitions() < 20 and found.schema == want.schema
+        assert sorted(found.collect()) == sorted(want.collect()) and found.count() == 82
+    assert readers.list_images(spark, str(tmp_path / "tree/a/b0/*/0.jpg")).count() == 1
+    assert readers.list_images(spark, str(tmp_path / "tree/bare")).count() == 0
+
+
 def test_width_faults(spark):
     lines = spark.createDataFrame([(1, 4, 32), (2, 4, 39), (3, 4, 40), (4, 1, 5), (5, 2, None)], "line_id long, n_frames int, width int")
     assert sorted(r["line_id"] for r in frame_store.width_faults(lines).collect()) == [3, 5]
