@@ -409,6 +409,34 @@ def test_simhash_counts_bits(spark):
         assert by_sums[n] & (2 ** 64 - 1) == want and by_array[n] & (2 ** 64 - 1) == want
 
 
+def test_suffix_blocks_equal_common_prefixes(monkeypatch):
+    """Blocks are the groups of suffixes with one prefix of the length; a round settles two symbols."""
+    rng = random.Random(31)
+    sorts = []
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    for length in (1, 2, 7, 12):
+        groups = [[bytes(rng.choice(b"ab\xfe") for _ in range(rng.choice([1, 2, 9, 30]))) for _ in range(8)] for _ in range(3)]
+        made = [suffix_dedup.Transform(g) for g in groups]
+        sorts.clear()
+        order, block = suffix_dedup.merged_blocks(made, length)
+        assert len(sorts) == len(made) + length // 2 + length % 2
+        suffixes = [(k, r, g[r][at:]) for k, (g, t) in enumerate(zip(groups, made)) for r, at in zip(t.row, t.at)]
+        # A suffix that ends before the length is a block of its own.
+        want = [s[:length] if len(s) >= length else (s, k, r) for k, r, s in suffixes]
+        assert sorted(order) == list(range(len(want)))
+        assert [want[i][:length] if isinstance(want[i], bytes) else want[i][0] for i in order] == sorted(s[:length] for _, _, s in suffixes)
+        of = {}
+        assert all(of.setdefault(b, want[i]) == want[i] for i, b in zip(order, block)) and len(of) == len(set(want))
+
+
+def test_suffix_pieces_of_few_bytes_need_no_codec(monkeypatch):
+    for data in (b"", b"ab", bytes(range(256)) * 3, b"x" * 5000):
+        assert suffix_dedup._full(suffix_dedup._squeezed(data)) == data
+    monkeypatch.setattr(suffix_dedup.pa, "Codec", None)
+    assert suffix_dedup._full(suffix_dedup._squeezed(b"ab" * 100)) == b"ab" * 100
+
+
 def test_suffix_dedup(spark, corpus, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
     rows = [r for r in corpus if r[0] is not None]
