@@ -121,6 +121,22 @@ def test_quality_rules_separate(spark):
     assert all(r["kept"] for r in none)
 
 
+def test_quality_statistics_are_computed_once(spark, monkeypatch):
+    """The rows kept are those that the verdict of each row keeps, with ids and texts that repeat or are null."""
+    rng = random.Random(2)
+    starred = " ".join(w + "***" for w in sentence(rng, 90).split())
+    plain = sentence(rng, 90)
+    rows = [(k, sentence(rng, 90) if k % 4 else " ".join(w + "***" for w in sentence(rng, 90).split()), "s") for k in range(200)]
+    rows += [(500, plain, "s"), (500, starred, "s"), (500, starred, "s"), (500, plain, "s"), (None, plain, "s"), (None, starred, "s"), (None, None, "s"), (501, None, "s"), (None, plain, "s")]
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), None) for k in range(0, 200, 2)], LABELS)
+    plain_statistics, calls = quality.statistics, []
+    monkeypatch.setattr(quality, "statistics", lambda *a, **k: calls.append(1) or plain_statistics(*a, **k))
+    kept = quality.kept_documents(frame(spark, rows), labels)
+    assert len(calls) == 1
+    want = collections.Counter((i, t) for i, t, _ in rows if t and "***" not in t)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
 def test_secrets(spark):
     key = "q9Zx3LmT7vBn2KpR5sWd8YhF"
     text = f"é password: {'a1' * 6} x\nAKIA{'A' * 13} AKIA{'A' * 14} {'0f' * 8} {key} /usr/local/share/documents/of/people/today"
